@@ -6,10 +6,16 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import scratch
+from .common import materialised, scratch
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: RocksDB as the store, its changes written rather than whole snapshots, no disk set aside for logs of small stores.
+STATE_SETTINGS = {
+    PROVIDER: ROCKSDB,
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 #: How many parts the rows of one hot text are dealt to, and the share of all rows from which a text is hot.
 SALTS, HEAVY_PARTS = 256, 1000
 
@@ -33,8 +39,9 @@ def update_state(spark: SparkSession, path: str, state: str, *, id_col: str = "d
     watermark and never expires. Rows are combined before the shuffle, so a text that a third of all rows hold sends
     one row per task. A later call with more files goes on where this one ended; so does a call after a crash.
     """
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STATE_SETTINGS}
+    for k, v in STATE_SETTINGS.items():
+        spark.conf.set(k, v)
     try:
         source = spark.readStream.schema(spark.read.parquet(path).schema)
         if files_per_batch:
@@ -47,7 +54,8 @@ def update_state(spark: SparkSession, path: str, state: str, *, id_col: str = "d
         query = ledger.writeStream.format("noop").outputMode("update").option("checkpointLocation", state).trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def read_state(spark: SparkSession, state: str) -> DataFrame:
@@ -89,15 +97,16 @@ def exact_dedup(spark: SparkSession, path: str, *, id_col: str = "doc_id", text_
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"),
     )
     rows = rows.join(heavy, F.col("digest") == F.col("hot"), "left")
-    rows = rows.withColumn("salt", F.when(F.col("hot").isNotNull(), F.pmod(F.xxhash64("row", "doc_id"), F.lit(SALTS)).cast("int")).otherwise(0)).drop("hot")
-
-    hits = salted(ledger.where("n > 1").select("digest", "n")).drop("n")
-    bytes_of = rows.select("digest", "salt", "text").join(hits, ["digest", "salt"])
-    ends = bytes_of.groupBy("digest", "salt").agg(F.min("text").alias("low"), F.max("text").alias("high"))
-    spread = ends.join(heavy, F.col("digest") == F.col("hot")).groupBy("digest").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    ends = ends.select("digest", "low", "high").union(spread).where("low <> high").select("digest")
-    collided = ends.distinct()
-    parts = rows.drop("text") if digest_bits == 256 else rows
+    rows = rows.withColumn("salt", F.when(F.col("hot").isNotNull(), F.pmod(F.xxhash64("row", "doc_id"), F.lit(SALTS)).cast("int")).otherwise(0))
+
+    # sorted by digest whatever the sizes: whole texts meet here, which no broadcast should decide
+    hits = salted(ledger.where("n > 1").select("digest", "n")).drop("n").hint("merge")
+    bytes_of = rows.select("digest", "salt", "hot", "text").join(hits, ["digest", "salt"])
+    ends = bytes_of.groupBy("digest", "salt").agg(F.min("text").alias("low"), F.max("text").alias("high"), F.first("hot").isNotNull().alias("spread"))
+    ends = ends.select("digest", (F.col("low") != F.col("high")).alias("differs"), F.when(F.col("spread"), F.col("low")).alias("low"), F.when(F.col("spread"), F.col("high")).alias("high"))
+    ends = ends.groupBy("digest").agg(F.max("differs").alias("differs"), F.min("low").alias("low"), F.max("high").alias("high"))
+    collided = materialised(ends.where("differs or low <> high").select("digest"), "dedup-collided")
+    parts = rows.drop("text", "hot") if digest_bits == 256 else rows.drop("hot")
     if collided.take(1):
         clashing = F.broadcast(collided) if collided.count() <= 10_000 else collided
         again = rows.join(clashing, "digest", "left_semi")
