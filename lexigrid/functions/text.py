@@ -26,7 +26,7 @@ SPANISH = """
 a acá ahí al algo algunas algunos allá allí ambos ante antes aquel aquella aquellas aquello aquellos aquí arriba así
 aunque bajo bien cada casi como con contra cual cuales cualquier cualquiera cuando de del demás dentro desde donde dos el
 él ella ellas ellos en encima entonces entre era erais éramos eran eras eres es esa esas ese eso esos esta estaba
-estaban estado estáis estamos están estar estas este esto estos estoy fin fue fueron fui fuimos ha habéis habían haber
+estaban estado estáis estamos están estar estas este esto estos estoy fin fue fueron fui fuimos ha habéis había habían haber
 habrá habrán hace hacen hacer hacia han hasta hay incluso intenta intentas intentamos intentan intentar ir la las le les
 lo los más me menos mi mis mientras mío míos misma mismas mismo mismos mucho muchos muy nada ni no nos nosotras nosotros
 nuestra nuestras nuestro nuestros nunca o os otra otras otro otros para pero poco por porque que qué quien quienes se sea
