@@ -5,11 +5,11 @@ from __future__ import annotations
 import json
 import math
 import random
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import spread_join
+from .common import materialised, spread_join
 
 UNKNOWN = "unknown"
 #: Bounds: features of the model (its table is broadcast), characters of a gram.
@@ -219,22 +219,38 @@ def classify(distinct: DataFrame) -> DataFrame:
     return found.where(F.col("confirmed") >= CONFIRMED).select("id", F.get(names, F.col("best") - 1).alias("family"), "probability")
 
 
+@lru_cache(maxsize=1)
+def cues() -> tuple[str, ...]:
+    """Words of which every confirmed paragraph holds one: CONFIRMED of a template's bigrams can't be had without them.
+
+    Chosen greedily, the words of most templates first, until in each template the bigrams without a cue are fewer
+    than CONFIRMED of all.
+    """
+    templates = [{(a, b) for a, b in zip(w, w[1:])} for w in (words_of(s) for t in TEMPLATES.values() for s in t)]
+    found: set[str] = set()
+    open_ = lambda t: sum(not found & set(g) for g in t) >= CONFIRMED * len(t)
+    while left := [t for t in templates if open_(t)]:
+        words = {w for t in left for g in t for w in g if w not in COMMON}
+        found.add(max(sorted(words), key=lambda w: (sum(any(w in g for g in t) for t in left), len(w))))
+    return tuple(sorted(found))
+
+
 def license_scan(docs: DataFrame) -> DataFrame:
     """One row for each row of `docs`: doc_id, n_licences (paragraphs in a licence family), families (distinct, by name, comma-joined), matches (pos:family, comma-joined).
 
-    Paragraphs are the lines of the whole text. One without a word that the model gives weight is unknown. Each distinct
-    paragraph with such a word is classified once; a paragraph that many documents share costs no more than another.
+    Paragraphs are the lines of the whole text. One without any of cues() can't be confirmed, so it is unknown. Each
+    distinct paragraph with one is classified once; a paragraph that many documents share costs no more than another.
     A null or empty text has none. Rows with one doc_id share their matches, each listed once. Equal probabilities go
     to the family first in TEMPLATES. Paragraphs of any length are read whole. Other columns aren't read.
     """
-    m = model()
-    cues = sorted(g for g in m["weights"] if " " not in g)
-    rows = paragraphs(docs)
-    # a model's gram has a word that isn't COMMON, and that word alone is a gram too: without any there is no evidence
-    rows = rows.where(F.arrays_overlap(_words(F.col("paragraph")), F.array(*map(F.lit, cues))))
-    rows = rows.withColumn("id", F.unhex(F.md5(F.col("paragraph").cast("binary"))))
+    def has_cue(text: Column) -> Column:
+        folded = F.lower(text)
+        return reduce(lambda found, w: found | folded.contains(w), cues(), F.lit(False))
+
+    rows = paragraphs(docs.where(has_cue(F.col("text")))).where(has_cue(F.col("paragraph")))
+    rows = materialised(rows.withColumn("id", F.unhex(F.md5(F.col("paragraph").cast("binary")))), "licence-paragraphs")
     distinct = rows.groupBy("id", "paragraph").agg(F.count("*").alias("n"))
-    found = classify(distinct.select("id", "paragraph")).join(distinct.select("id", "n"), "id")
+    found = materialised(classify(distinct.select("id", "paragraph")), "licences").join(distinct.select("id", "n"), "id")
     total = rows.count()
     met = spread_join(rows.select("doc_id", "pos", "id"), found.select("id", "family", "n"), "id", "n", total, ["doc_id", "pos"])
     one = F.array_sort(F.collect_set(F.struct("pos", "family")))

@@ -45,6 +45,26 @@ def segment_keys(line: Column, k: int) -> Column:
     return F.array(*keys)
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), the value worked out once: an expression written in twice is evaluated twice."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _common(a: Column, b: Column) -> Column:
+    """Length of the common prefix (of its first 2 ** 18 - 1 characters, if it is longer), by halving steps."""
+    most = F.least(F.length(a), F.length(b))
+    steps = F.array(*[F.lit(1 << i) for i in range(17, -1, -1)])
+    same = lambda at, step: F.substring(a, at + 1, step) == F.substring(b, at + 1, step)
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= most) & same(at, step), at + step).otherwise(at))
+
+
+def differing(a: Column, b: Column) -> Column:
+    """struct(x, y): a and b without their common prefix and then their common suffix, which any edit distance allows."""
+    whole = F.struct(a.alias("x"), b.alias("y"))
+    cut = _let(whole, lambda s: _let(_common(s["x"], s["y"]), lambda n: F.struct(F.reverse(F.substring(s["x"], n + 1, F.length(s["x"]))).alias("x"), F.reverse(F.substring(s["y"], n + 1, F.length(s["y"]))).alias("y"))))
+    return _let(cut, lambda s: _let(_common(s["x"], s["y"]), lambda n: F.struct(F.reverse(F.substring(s["x"], n + 1, F.length(s["x"]))).alias("x"), F.reverse(F.substring(s["y"], n + 1, F.length(s["y"]))).alias("y"))))
+
+
 def edit_distance(a: Column, b: Column, k: int) -> Column:
     """Levenshtein distance, exact up to k, over k for all beyond; bit-parallel over a band of 2k + 1 diagonals.
 
@@ -56,34 +76,38 @@ def edit_distance(a: Column, b: Column, k: int) -> Column:
     full, top = (1 << width) - 1, 1 << (width - 1)
     long = lambda x: F.lit(x).cast("long")
     none = lambda x: x.bitwiseXOR(long(full))
-    first, second = F.split(a, ""), F.split(b, "")
-    n = F.length(a)
+    bits = F.array(*[long(1 << x) for x in range(width)])
 
-    def step(s: Column, i: Column) -> Column:
-        # array functions see the characters through the accumulator's fields, so a and b are split once
-        c = F.get(s["q"], i)
+    def advance(z: Column, s: Column, i: Column) -> Column:
         match = long(0)
         for t in range(width):
-            match = match.bitwiseOR(F.when(F.get(s["p"], i + (k + 1 - width + t)) == c, long(1 << t)).otherwise(long(0)))
-        return F.struct(s["vp"].alias("vp"), s["vn"].alias("vn"), s["at"].alias("at"), match.alias("m"), s["p"].alias("p"), s["q"].alias("q"))
-
-    def advance(s: Column, i: Column) -> Column:
-        m, vp, vn = s["m"], s["vp"], s["vn"]
-        d0 = ((m.bitwiseAND(vp) + vp).bitwiseXOR(vp)).bitwiseOR(m).bitwiseOR(vn).bitwiseAND(long(full))
-        hp = vn.bitwiseOR(none(d0.bitwiseOR(vp)))
-        hn = d0.bitwiseAND(vp)
-        down = F.shiftright(d0, 1)
-        row = n - k - 1 - i  # at 0 or more the top bit is a row of a
-        bit = F.element_at(F.array(*[long(1 << x) for x in range(width)]), F.greatest(F.lit(1), F.least(F.lit(width), F.lit(width) + row)).cast("int"))
-        along = F.when(row >= 0, F.when(d0.bitwiseAND(long(top)) == 0, 1).otherwise(0)).otherwise(
-            F.when(hp.bitwiseAND(bit) != 0, 1).otherwise(0) - F.when(hn.bitwiseAND(bit) != 0, 1).otherwise(0))
-        return F.struct(
-            hn.bitwiseOR(none(down.bitwiseOR(hp))).alias("vp"), down.bitwiseAND(hp).alias("vn"), (s["at"] + along).cast("int").alias("at"), m.alias("m"), s["p"].alias("p"), s["q"].alias("q"))
-
-    start = F.struct(long(full & ~((1 << (width - k - 1)) - 1)).alias("vp"), long(0).alias("vn"), F.lit(k).alias("at"), long(0).alias("m"), first.alias("p"), second.alias("q"))
-    steps = F.when(F.length(b) > 0, F.sequence(F.lit(0), F.length(b) - 1)).otherwise(F.array().cast("array<int>"))
-    found = F.aggregate(steps, start, lambda s, i: advance(step(s, i), i), lambda s: s["at"])
-    return F.when(F.length(b) == 0, n).when(n == 0, F.length(b)).otherwise(found)
+            match = match.bitwiseOR(F.when(F.get(z["p"], i + (k + 1 - width + t)) == F.get(z["q"], i), long(1 << t)).otherwise(long(0)))
+        vp, vn = s["vp"], s["vn"]
+        diagonal = lambda m: ((m.bitwiseAND(vp) + vp).bitwiseXOR(vp)).bitwiseOR(m).bitwiseOR(vn).bitwiseAND(long(full))
+
+        def moved(d0: Column) -> Column:
+            hp, hn, down = vn.bitwiseOR(none(d0.bitwiseOR(vp))), d0.bitwiseAND(vp), F.shiftright(d0, 1)
+            row = z["n"] - k - 1 - i  # at 0 or more the top bit is a row of a
+            bit = F.element_at(bits, F.greatest(F.lit(1), F.least(F.lit(width), F.lit(width) + row)).cast("int"))
+            along = F.when(row >= 0, F.when(d0.bitwiseAND(long(top)) == 0, 1).otherwise(0)).otherwise(
+                F.when(hp.bitwiseAND(bit) != 0, 1).otherwise(0) - F.when(hn.bitwiseAND(bit) != 0, 1).otherwise(0))
+            return F.struct(hn.bitwiseOR(none(down.bitwiseOR(hp))).alias("vp"), down.bitwiseAND(hp).alias("vn"), (s["at"] + along).cast("int").alias("at"))
+
+        return _let(match, lambda m: _let(diagonal(m), moved))
+
+    def run(z: Column) -> Column:
+        start = F.struct(long(full & ~((1 << (width - k - 1)) - 1)).alias("vp"), long(0).alias("vn"), F.lit(k).alias("at"))
+        steps = F.sequence(F.lit(0), F.size(z["q"]) - 1)
+        return F.aggregate(steps, start, lambda s, i: advance(z, s, i), lambda s: s["at"])
+
+    split = F.struct(F.split(a, "").alias("p"), F.split(b, "").alias("q"), F.length(a).alias("n"))
+    return F.when(F.length(b) == 0, F.length(a)).when(F.length(a) == 0, F.length(b)).otherwise(_let(split, run))
+
+
+def within(a: Column, b: Column, k: int, probe: int = 16) -> Column:
+    """Whether the edit distance is k at most: of what differs first the beginnings, which must lie within 2k, then all."""
+    near = lambda s: edit_distance(F.substring(s["x"], 1, probe), F.substring(s["y"], 1, probe), 2 * k) <= 2 * k
+    return _let(differing(a, b), lambda s: F.when((F.abs(F.length(s["x"]) - F.length(s["y"])) <= k) & near(s), edit_distance(s["x"], s["y"], k) <= k).otherwise(False))
 
 
 def _stars(hot: DataFrame) -> DataFrame:
@@ -134,7 +158,7 @@ def near_links(rows: DataFrame, firsts: DataFrame, k: int, group: int = GROUP) -
     left = texts.select(F.col("h").alias("a"), F.col("line").alias("x"))
     right = texts.select(F.col("h").alias("b"), F.col("line").alias("y"))
     close = pairs.join(left, "a").join(right, "b").where(F.abs(F.length("x") - F.length("y")) <= k)
-    edges = close.where(edit_distance(F.col("x"), F.col("y"), k) <= k).select("a", "b")
+    edges = close.where(within(F.col("x"), F.col("y"), k)).select("a", "b")
     return edges.unionByName(_stars(texts.where("hot").select("h", "line"))) if k == 1 else edges
 
 

@@ -10,8 +10,8 @@ WEIGHTS, SHARE, MOST, BLOCK = (5.0, 2.0, 1.0), 1.5, 2.0, 4096
 #: Slots are points of the golden-ratio sequence in units of 1 / SPAN: slot i lies at i * STEP mod SPAN. STEP is odd and
 #: next to SPAN / golden ratio, so any run of slots is spread evenly and no point comes twice within SPAN slots.
 SPAN, STEP = 1 << 31, 1327217885
-#: Documents of a source are put in order within 2 ** BUCKET_BITS buckets of their hash.
-BUCKET_BITS = 10
+#: Documents of a source are put in order within the buckets of so many hexadecimal digits of their hash.
+BUCKET_DIGITS = 3
 
 
 def word_count(text: Column) -> Column:
@@ -98,8 +98,8 @@ def mix(docs: DataFrame, *, weights=WEIGHTS, share: float = SHARE, most: float =
     plan = materialised(plan, "mix-plan")  # a row for each source
     rows = rows.select("doc_id", "copy", "size", key)
     rows = spread_join(rows, plan.select(key, "nth", "n_docs", "source_size", "target"), "source_key", "n_docs", total, ["doc_id", "copy"])
-    order = F.xxhash64(F.lit(seed), "doc_id", "copy")
-    rows = rows.withColumn("order", order).withColumn("bucket", F.shiftrightunsigned("order", 64 - BUCKET_BITS).cast("int"))
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "copy"))
+    rows = rows.withColumn("order", order).withColumn("bucket", F.substring("order", 1, BUCKET_DIGITS))
     rows = prefix_sums(rows, "nth", ["order", "doc_id", "copy"], "size", "start", "bucket")
 
     goal = F.round("target").cast("long")

@@ -76,7 +76,7 @@ def measure(text: str | None) -> tuple[int, ...]:
         letters = sum(map(str.isalpha, text))
         most = Counter(words).most_common(1)[0][1]
         failed |= (not 2 * n <= chars <= 15 * n) << RULES["word_length"]
-        failed |= (symbols > 0.3 * n) << RULES["symbols"]
+        failed |= (10 * symbols > 3 * n) << RULES["symbols"]
         failed |= (2 * duplicate > len(lines)) << RULES["duplicate_lines"]
         failed |= (2 * letters < chars) << RULES["few_letters"]
         failed |= (END.search(text) is None) << RULES["no_sentence"]
