@@ -230,8 +230,9 @@ def cues() -> tuple[str, ...]:
     found: set[str] = set()
     open_ = lambda t: sum(not found & set(g) for g in t) >= CONFIRMED * len(t)
     while left := [t for t in templates if open_(t)]:
-        words = {w for t in left for g in t for w in g if w not in COMMON}
-        found.add(max(sorted(words), key=lambda w: (sum(any(w in g for g in t) for t in left), len(w))))
+        bare = [[g for g in t if not found & set(g)] for t in left]
+        words = {w for t in bare for g in t for w in g}
+        found.add(max(sorted(words), key=lambda w: (w not in COMMON, sum(any(w in g for g in t) for t in bare), len(w))))
     return tuple(sorted(found))
 
 

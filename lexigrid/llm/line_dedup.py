@@ -96,7 +96,7 @@ def edit_distance(a: Column, b: Column, k: int) -> Column:
         return _let(match, lambda m: _let(diagonal(m), moved))
 
     def run(z: Column) -> Column:
-        start = F.struct(long(full & ~((1 << (width - k - 1)) - 1)).alias("vp"), long(0).alias("vn"), F.lit(k).alias("at"))
+        start = F.struct(long(full & ~((1 << (width - k - 1)) - 1)).alias("vp"), long(0).alias("vn"), F.least(F.lit(k), z["n"]).alias("at"))
         steps = F.sequence(F.lit(0), F.size(z["q"]) - 1)
         return F.aggregate(steps, start, lambda s, i: advance(z, s, i), lambda s: s["at"])
 
