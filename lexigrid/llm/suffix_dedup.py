@@ -92,7 +92,7 @@ class Run:
                 new = np.flatnonzero(np.concatenate([[True], (np.diff(anchors) != 0) | (np.diff(starts) != 1)]))
                 found.append((anchors[new], starts[new], starts[np.concatenate([new[1:], [len(starts)]]) - 1]))
         if not found:
-            return tuple(np.empty(0, np.int64) for _ in range(3)) + tuple(np.empty(0, np.uint64) for _ in range(2))
+            return tuple(np.empty(0, np.int64) for _ in range(3)) + tuple(np.empty(0, np.uint64) for _ in range(3))
         anchor, first, last = (np.concatenate(x) for x in zip(*found))
         own, before, after = (np.empty(len(anchor), np.uint64) for _ in range(3))
         padded = np.concatenate([np.zeros(GRAM, np.uint8), self.data])
