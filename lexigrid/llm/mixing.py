@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import WORD, materialised, prefix_sums, spread_join
+from .common import WORD, WORD_SPACE, materialised, prefix_sums, spread_join
 
 WEIGHTS, SHARE, MOST, BLOCK = (5.0, 2.0, 1.0), 1.5, 2.0, 4096
 #: Slots are points of the golden-ratio sequence in units of 1 / SPAN: slot i lies at i * STEP mod SPAN. STEP is odd and
@@ -130,7 +130,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     whole = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.when(i <= F.col("__full"), F.col("text")))
     pieces = F.split("text", r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
     lead = F.when(F.col("text").rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)
-    part = F.rtrim(F.array_join(F.slice(pieces, F.lit(1), (F.col("__part") + lead).cast("int")), ""))
+    part = F.rtrim(F.array_join(F.slice(pieces, F.lit(1), (F.col("__part") + lead).cast("int")), ""), F.lit(WORD_SPACE))
     texts = F.filter(F.concat(whole, F.array(F.when(F.col("__part") > 0, part))), lambda t: t.isNotNull())
     rows = rows.withColumn("__text", F.explode(texts)).withColumnRenamed("__own_copy", "copy")
     columns = [F.col("__text").alias("text") if c == "text" else F.length("__text").cast(t).alias(c) if c == "n_chars" else F.col(c) for c, t in docs.dtypes]
