@@ -37,7 +37,7 @@ def test_edge_cases(spark):
 
 def test_policies_and_ablations(spark):
     prose = " ".join(f"word{i}" for i in range(60)) + "."
-    rows = [(1, prose), (2, prose.replace(" ", " ## ")), (3, "short"), (4, "\n".join(f"{prose} line{i}." for i in range(3)))]
+    rows = [(1, prose), (2, prose.replace(" ", " ## ")), (3, "a few short words end here."), (4, "\n".join(f"{prose} line{i}." for i in range(3)))]
     ledger = Q.ledger(frame(spark, rows)).cache()
     kept = {v: {r["doc_id"] for r in Q.verdicts(ledger, v).where("kept").collect()} for v in (1, 2)}
     assert kept == {1: {1, 2}, 2: {1}} and slow(rows[3][1])[4] > 0
