@@ -145,8 +145,8 @@ def find(text: str | None, automaton: ahocorasick.Automaton) -> dict[str, list[t
     if not text:
         return spans
     folded = text.lower()
-    if len(folded) != len(text):  # a few letters change their length; then cues in words match as written
-        folded = text
+    if len(folded) != len(text):  # a few letters change their length; these stay as written, so that places don't move
+        folded = "".join(x if len(x := c.lower()) == 1 else c for c in text)
     done = dict.fromkeys(("digits", "email", "card", "ip", "phone", *ADDED), 0)
     for last, (kind, width) in automaton.iter(folded):
         at = last + 1 - width

@@ -70,3 +70,9 @@ def test_query(spark):
         assert got[doc]["base_sha256"] == hashlib.sha256(listed.encode()).hexdigest()
         assert [got[doc][f"n_{k}"] for k in P.BASE] == [len(expected[k]) for k in P.BASE]
         assert got[doc]["spans"].startswith(listed)
+
+
+def test_letters_whose_lower_case_is_longer_leave_the_rest_folded():
+    text = "İzmir. He lives at 12 Main Street, Springfield. Account number: 12345678. Passport No: 123456789."
+    found = P.find(text, P._automaton())
+    assert found == P.find(text.replace("İ", "I"), P._automaton()) and found["address"] and found["account"]
