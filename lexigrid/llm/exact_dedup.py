@@ -44,6 +44,7 @@ def update_state(spark: SparkSession, path: str, state: str, *, id_col: str = "d
         spark.conf.set(k, v)
     try:
         source = spark.readStream.schema(spark.read.parquet(path).schema)
+        source = source.option("maxFileAge", "36500d")  # files older than the newest one seen count as well
         if files_per_batch:
             source = source.option("maxFilesPerTrigger", files_per_batch)
         rows = source.parquet(_glob(path)).select(
@@ -84,7 +85,9 @@ def exact_dedup(spark: SparkSession, path: str, *, id_col: str = "doc_id", text_
     state = state or scratch(spark, "dedup-state")
     update_state(spark, path, state, id_col=id_col, text_col=text_col, digest_bits=digest_bits, files_per_batch=files_per_batch)
     ledger = read_state(spark, state)
-    total = ledger.agg(F.sum("n")).first()[0]
+    total, rows = ledger.agg(F.sum("n")).first()[0], spark.read.parquet(path).count()
+    if total != rows:
+        raise RuntimeError(f"the state counts {total} rows, the table has {rows}")
     heavy_from = max(2, -(-total // HEAVY_PARTS))
     heavy = F.broadcast(ledger.where(F.col("n") >= heavy_from).select(F.col("digest").alias("hot")))  # HEAVY_PARTS rows at most
 

@@ -67,3 +67,18 @@ def test_state_goes_on_with_new_files(spark, tmp_path):
 
 def test_query(spark):
     assert got(op1_exact_dedup(spark, DATA)) == brute_fast([(d, t or "") for d, t in texts(spark).items()])
+
+
+def test_old_files_that_come_later_enter_the_state(spark, tmp_path):
+    import os
+    import time
+
+    path, state = tmp_path / "t", str(tmp_path / "state")
+    frame(spark, [(1, "one"), (2, "two")]).coalesce(1).write.parquet(str(path))
+    assert exact_dedup(spark, str(path), state=state).count() == 2
+    frame(spark, [(3, "one"), (4, "four")]).coalesce(1).write.parquet(str(tmp_path / "more"))
+    (file,) = (tmp_path / "more").glob("part-*")
+    old = time.time() - 30 * 86400
+    os.utime(file, (old, old))
+    file.rename(path / file.name)
+    assert {(r["doc_id"], r["keep_id"]) for r in exact_dedup(spark, str(path), state=state).collect()} == {(1, 3), (2, 2), (3, 3), (4, 4)}
