@@ -115,15 +115,15 @@ def verdicts(rows: DataFrame, policy: Policy | int = CURRENT) -> DataFrame:
 
 
 def ablations(rows: DataFrame, policy: Policy | int = CURRENT) -> DataFrame:
-    """For each hard rule of the policy: fails (texts), alone (texts that would be kept without this rule only), words_alone.
+    """For each rule of the policy, hard ones first, then soft ones: fails (texts), alone (texts that would be kept without this rule only), words_alone.
 
     One bitwise aggregation over the ledger; texts aren't read again.
     """
     policy = POLICIES[policy] if isinstance(policy, int) else policy
     failed = F.col("failed")
     sums = {}
-    for name in policy.rules:
-        without = Policy(policy.version, tuple(r for r in policy.rules if r != name), policy.soft, policy.tolerated)
+    for name in (*policy.rules, *policy.soft):
+        without = Policy(policy.version, tuple(r for r in policy.rules if r != name), tuple(r for r in policy.soft if r != name), policy.tolerated)
         alone = without.keeps(failed) & ~policy.keeps(failed)
         sums[name] = F.struct(F.sum(F.shiftright(failed, RULES[name]).bitwiseAND(F.lit(1))).alias("fails"), F.sum(alone.cast("long")).alias("alone"), F.sum(F.when(alone, F.col("n_words")).otherwise(0)).alias("words_alone"))
     one = rows.agg(*[s.alias(name) for name, s in sums.items()])

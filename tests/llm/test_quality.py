@@ -61,3 +61,17 @@ def test_query(spark):
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()}
     good = [got[d] for d, q in labels.items() if q == 1 and not got[d]["base_failed"]]
     assert all(r["kept"] for r in good)
+
+
+def test_soft_rules_have_ablations(spark):
+    prose = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, prose), (2, "\n".join(f"- {prose} {i}" for i in range(1))), (3, prose + " ...")]
+    ledger = Q.ledger(frame(spark, rows)).cache()
+    policy = Q.POLICIES[2]
+    kept = lambda p: {r["doc_id"] for r in Q.verdicts(ledger, p).where("kept").collect()}
+    found = {r["rule"]: (r["fails"], r["alone"]) for r in Q.ablations(ledger).collect()}
+    assert list(found) == [*policy.rules, *policy.soft] and kept(policy) == {1, 3}
+    for name in policy.soft:
+        without = Q.Policy(9, policy.rules, tuple(r for r in policy.soft if r != name), policy.tolerated)
+        assert found[name][1] == len(kept(without) - kept(policy)), name
+    assert found["no_sentence"] == (2, 1) and found["bullet_lines"] == (1, 1) and found["ellipsis_lines"] == (1, 0)
