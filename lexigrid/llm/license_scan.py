@@ -14,8 +14,10 @@ from .common import materialised, spread_join
 UNKNOWN = "unknown"
 #: Bounds: features of the model (its table is broadcast), characters of a gram.
 FEATURES, EPOCHS, TRAIN_COPIES, SEED = 4000, 30, 14, 11
-#: A prediction counts if at least this share of a template's bigrams is in the paragraph, or of the paragraph's in a template.
+#: A prediction counts if at least this share of a template's bigrams is in the line or paragraph, or of the paragraph's in a template.
 CONFIRMED = 0.6
+#: A paragraph's own share counts if it has this many different bigrams of the template.
+OWN_BIGRAMS = 10
 
 #: Sentences by which licence families are named or granted.
 TEMPLATES = {
@@ -182,17 +184,30 @@ def _weights(spark: SparkSession, m: dict) -> DataFrame:
     return spark.range(1).select(F.explode(F.from_json(F.lit(rows), "array<struct<gram: string, w: array<double>>>")).alias("r")).select("r.gram", "r.w")
 
 
-def paragraphs(docs: DataFrame) -> DataFrame:
-    """The paragraphs of whole texts, split at newlines, that aren't blank: doc_id, pos (0 based line), paragraph."""
+def lines(docs: DataFrame) -> DataFrame:
+    """The lines of whole texts, split at newlines, that aren't blank: doc_id, pos (0 based line), paragraph."""
     split = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "paragraph"))
     return split.where(F.trim("paragraph") != "")
 
 
-def classify(distinct: DataFrame) -> DataFrame:
+def paragraphs(docs: DataFrame) -> DataFrame:
+    """The paragraphs of whole texts, runs of lines with a letter or digit: doc_id, pos (0 based, the first line), paragraph."""
+    split = docs.select("doc_id", F.split("text", "\n").alias("lines"))
+    split = split.withColumn("full", F.transform("lines", lambda x: x.rlike(r"[\p{L}\p{N}]")))
+    at = F.sequence(F.lit(0), F.size("lines") - 1)
+    beside = lambda i, by: F.coalesce(F.get("full", i + by), F.lit(False))
+    first = F.filter(at, lambda i: F.get("full", i) & ~beside(i, -1))
+    last = F.filter(at, lambda i: F.get("full", i) & ~beside(i, 1))
+    split = split.where("lines is not null").select("doc_id", "lines", F.explode(F.arrays_zip(first.alias("a"), last.alias("z"))).alias("r"))
+    return split.select("doc_id", F.col("r.a").alias("pos"), F.array_join(F.slice("lines", F.col("r.a") + 1, F.col("r.z") - F.col("r.a") + 1), "\n").alias("paragraph"))
+
+
+def classify(distinct: DataFrame, own_share: bool = False) -> DataFrame:
     """For distinct paragraphs (id, paragraph): id, family, probability of those that are in a licence family, confirmed by a template.
 
     Grams of the model are found by a broadcast join on the exploded grams (the table is bounded by FEATURES); sums of
-    weights give calibrated probabilities. Of a predicted family some template must share enough bigrams.
+    weights give calibrated probabilities. Of a predicted family some template must share enough bigrams: CONFIRMED of
+    its own or, with `own_share`, of the paragraph's, if these are OWN_BIGRAMS or more.
     """
     m = model()
     n = len(m["families"])
@@ -211,7 +226,8 @@ def classify(distinct: DataFrame) -> DataFrame:
 
     def shares(template: list[str]) -> Column:
         both = F.size(F.array_intersect(own, F.array(*map(F.lit, template))))
-        return both / F.lit(len(template))
+        share = both / F.lit(len(template))
+        return F.greatest(share, F.when(both >= OWN_BIGRAMS, both / F.size(own))) if own_share else share
 
     checks = F.array(*[F.greatest(*map(shares, bigrams[k]), F.lit(0.0)) for k in TEMPLATES])
     found = found.join(rows, "id").select("id", "best", "probability", F.get(checks, F.col("best") - 1).alias("confirmed"))
@@ -221,14 +237,14 @@ def classify(distinct: DataFrame) -> DataFrame:
 
 @lru_cache(maxsize=1)
 def cues() -> tuple[str, ...]:
-    """Words of which every confirmed paragraph holds one: CONFIRMED of a template's bigrams can't be had without them.
+    """Words of which every confirmed paragraph holds one: neither CONFIRMED of a template's bigrams nor OWN_BIGRAMS of them can be had without them.
 
     Chosen greedily, the words of most templates first, until in each template the bigrams without a cue are fewer
-    than CONFIRMED of all.
+    than CONFIRMED of all and than OWN_BIGRAMS.
     """
     templates = [{(a, b) for a, b in zip(w, w[1:])} for w in (words_of(s) for t in TEMPLATES.values() for s in t)]
     found: set[str] = set()
-    open_ = lambda t: sum(not found & set(g) for g in t) >= CONFIRMED * len(t)
+    open_ = lambda t: sum(not found & set(g) for g in t) >= min(CONFIRMED * len(t), OWN_BIGRAMS)
     while left := [t for t in templates if open_(t)]:
         bare = [[g for g in t if not found & set(g)] for t in left]
         words = {w for t in bare for g in t for w in g}
@@ -237,10 +253,12 @@ def cues() -> tuple[str, ...]:
 
 
 def license_scan(docs: DataFrame) -> DataFrame:
-    """One row for each row of `docs`: doc_id, n_licences (paragraphs in a licence family), families (distinct, by name, comma-joined), matches (pos:family, comma-joined).
+    """One row for each row of `docs`: doc_id, n_licences (lines and paragraphs in a licence family), families (distinct, by name, comma-joined), matches (pos:family, comma-joined).
 
-    Paragraphs are the lines of the whole text. One without any of cues() can't be confirmed, so it is unknown. Each
-    distinct paragraph with one is classified once; a paragraph that many documents share costs no more than another.
+    Each line of the whole text is classified, then what other lines each paragraph has, joined, so that wrapped
+    licences are found; such a match is at the first of those lines, and not listed if a line of the paragraph has its
+    family already. Text without any of cues() can't be confirmed, so it is unknown. Each distinct line or paragraph
+    with one is classified once; one that many documents share costs no more than another.
     A null or empty text has none. Rows with one doc_id share their matches, each listed once. Equal probabilities go
     to the family first in TEMPLATES. Paragraphs of any length are read whole. Other columns aren't read.
     """
@@ -248,12 +266,30 @@ def license_scan(docs: DataFrame) -> DataFrame:
         folded = F.lower(text)
         return reduce(lambda found, w: found | folded.contains(w), cues(), F.lit(False))
 
-    rows = paragraphs(docs.where(has_cue(F.col("text")))).where(has_cue(F.col("paragraph")))
-    rows = materialised(rows.withColumn("id", F.unhex(F.md5(F.col("paragraph").cast("binary")))), "licence-paragraphs")
+    digest = lambda c: F.unhex(F.md5(c.cast("binary")))
+    docs_with = materialised(docs.where(has_cue(F.col("text"))).select("doc_id", "text"), "licence-texts")
+    rows = lines(docs_with).where(has_cue(F.col("paragraph")))
+    rows = materialised(rows.withColumn("id", digest(F.col("paragraph"))), "licence-lines")
     distinct = rows.groupBy("id", "paragraph").agg(F.count("*").alias("n"))
-    found = materialised(classify(distinct.select("id", "paragraph")), "licences").join(distinct.select("id", "n"), "id")
+    found = materialised(classify(distinct.select("id", "paragraph")).join(distinct.select("id", "n"), "id"), "licences")
     total = rows.count()
     met = spread_join(rows.select("doc_id", "pos", "id"), found.select("id", "family", "n"), "id", "n", total, ["doc_id", "pos"])
+
+    whole = paragraphs(docs_with).where(has_cue(F.col("paragraph")))
+    whole = materialised(whole.withColumn("key", digest(F.col("paragraph"))), "licence-paragraphs")
+    each = whole.groupBy("key", "paragraph").agg(F.count("*").alias("n"))
+    sizes = each.select("key", "n")
+    parts = each.select("key", F.posexplode(F.split("paragraph", "\n")).alias("at", "line")).withColumn("id", digest(F.col("line")))
+    parts = spread_join(parts, found.select("id", "family", "n"), "id", "n", total, ["key", "at"], "left")
+    rest = F.array_sort(F.collect_list(F.when(F.col("family").isNull(), F.struct("at", "line"))))
+    parts = parts.groupBy("key").agg(F.collect_set("family").alias("named"), rest.alias("rest")).where(F.size("rest") > 0)
+    parts = parts.select("key", "named", F.get("rest", F.lit(0))["at"].alias("at"), F.array_join(F.col("rest.line"), "\n").alias("paragraph"))
+    parts = materialised(parts.where(has_cue(F.col("paragraph"))), "licence-rests")
+    joined = classify(parts.select(F.col("key").alias("id"), "paragraph"), own_share=True).withColumnRenamed("id", "key")
+    joined = joined.join(parts.select("key", "named", "at"), "key").where(~F.array_contains("named", F.col("family"))).join(sizes, "key")
+    joined = materialised(joined.select("key", "at", "family", "n"), "licence-joined")
+    wrapped = spread_join(whole.select("doc_id", "pos", "key"), joined, "key", "n", whole.count(), ["doc_id", "pos"])
+    met = met.select("doc_id", "pos", "family").unionByName(wrapped.select("doc_id", (F.col("pos") + F.col("at")).alias("pos"), "family"))
     one = F.array_sort(F.collect_set(F.struct("pos", "family")))
     by = met.groupBy("doc_id").agg(one.alias("m")).withColumnRenamed("doc_id", "m_id")
     out = docs.select("doc_id").join(by, F.col("doc_id").eqNullSafe(F.col("m_id")), "left")

@@ -59,6 +59,31 @@ def test_edge_cases(spark):
     assert L.license_scan(frame(spark, [])).count() == 0
 
 
+def test_wrapped_paragraphs_are_found(spark):
+    bsd = """Copyright (c) 2020, the authors. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer."""
+    lgpl = """/*
+ * This library is free software; you can redistribute it and/or
+ * modify it under the terms of the GNU Lesser General Public
+ * License as published by the Free Software Foundation.
+ *
+ * Nothing else is said here.
+ */"""
+    one = "All rights reserved.\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met"
+    part = "Permission is hereby granted, free of charge,\nto any person obtaining a copy"
+    prose = "He wrote of the weather and the sea.\nNothing in the software was new\nand the conditions were as they had been."
+    rows = [(1, bsd), (2, lgpl), (3, one), (4, part), (5, prose), (6, "Released under the MIT License.\nReleased under the MIT\nLicense."), (7, bsd.replace("\n", "\r\n")), (1, bsd), (None, lgpl)]
+    got = [(r["doc_id"], r["matches"]) for r in L.license_scan(frame(spark, rows)).collect()]
+    three = "0:all-rights-reserved,2:BSD,5:BSD"
+    expected = [(1, three), (1, three), (2, "1:LGPL"), (3, "0:all-rights-reserved,1:BSD"), (4, "0:MIT"), (5, ""), (6, "0:MIT,1:MIT"), (7, three), (None, "1:LGPL")]
+    assert sorted(got, key=str) == sorted(expected, key=str)
+
+
 def test_model_is_bounded_and_deterministic():
     first = L.model()
     L.model.cache_clear()
