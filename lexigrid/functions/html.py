@@ -1,59 +1,114 @@
-"""Title, text and links of HTML as chains of regular expressions, so that they stay in generated code; headers."""
+"""Title, text and links of HTML by regular expressions, without Python workers; response headers."""
 
 from __future__ import annotations
 
-from functools import reduce
+import json
+from html.entities import html5
 
 from pyspark.sql import Column, functions as F
 
 from . import uri as U
+from .text import let
 
 #: Elements that separate words; any other tag vanishes without a trace.
 BLOCKS = "address|article|aside|blockquote|body|br|caption|center|dd|details|dialog|dir|div|dl|dt|fieldset|figcaption|figure|footer|form|frameset|h[1-6]|head|header|hgroup|hr|html|isindex|legend|li|main|menu|nav|noscript|ol|option|p|pre|section|summary|table|tbody|td|tfoot|th|thead|title|tr|ul"
-#: Named character references; the ampersand comes last so that nothing is decoded twice.
-ENTITIES = {
-    "nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "copy": "©", "reg": "®", "trade": "™", "middot": "·", "bull": "•", "hellip": "…", "mdash": "—", "ndash": "–",
-    "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "laquo": "«", "raquo": "»", "times": "×", "euro": "€", "pound": "£", "sect": "§", "deg": "°", "eacute": "é", "egrave": "è",
-    "agrave": "à", "ccedil": "ç", "ntilde": "ñ", "ouml": "ö", "uuml": "ü", "auml": "ä", "szlig": "ß",
-}
 SPACES = "[ \\t\\n\\r\\f\\x{00A0}]+"
-
-
-def decode_entities(text: Column) -> Column:
-    """Named references of ENTITIES and decimal and hexadecimal ones of ASCII characters, the ampersand's last."""
-    numbers = [(f"&#(0*{c}|[xX]0*{c:x}|[xX]0*{c:X});", chr(c)) for c in (34, 39, 60, 62, 160)]
-    text = reduce(lambda t, p: F.regexp_replace(t, p[0], p[1]), numbers, text)
-    text = reduce(lambda t, p: F.replace(t, F.lit(f"&{p[0]};"), F.lit(p[1])), ENTITIES.items(), text)
-    return F.regexp_replace(text, "&(amp|#0*38|#[xX]0*26);", "&")
+#: What a tag holds besides its name: a quote only counts after an equals sign, and then a > in the value ends nothing.
+ATTRIBUTES = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')|=)*+"""
+#: Comments and elements whose content is no text, to their end or to that of the document.
+HIDDEN = rf"(?is)<!--.*?(?:-->|\z)|<(script|style|template)\b{ATTRIBUTES}>.*?(?:</\1\b[^>]*>|\z)"
+#: The head ends with its end tag, or where anything begins that can't be in it.
+HEAD = rf"(?is)<head\b{ATTRIBUTES}>.*?(?:</head\s*>|(?=</?(?!(?:title|meta|link|base|noscript|head)\b)[a-z])|\z)"
+TITLE = rf"(?is)<title\b{ATTRIBUTES}>(.*?)(?:</title\s*>|\z)"
+TAG = rf"(?s)</?[A-Za-z][^\s/>]*+{ATTRIBUTES}(?:>|\z)|<[!?/][^>]*(?:>|\z)"
+HREF = r"""(?is)^<(?:a|base)[\s/]+(?:(?!href[\s=])[^\s=>/]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>"']*))?[\s/]*)*+href\s*=\s*("[^"]*"|'[^']*'|[^\s>]*)"""
+#: Names that count without a semicolon; all names with and those without one, as JSON; a reference.
+LEGACY = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+NAMED = (json.dumps({n[:-1]: c for n, c in html5.items() if n.endswith(";")}), json.dumps({n: html5[n] for n in LEGACY}))
+REFERENCE = r"^&(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);?"
+#: Numbers of the C1 controls mean the letters of the Windows code page.
+WINDOWS = {chr(c): bytes([c]).decode("cp1252") for c in range(0x80, 0xA0) if c not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
+
+
+def _number(name: Column) -> Column:
+    """The character of a numeric reference; what is none is the replacement character."""
+    code = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 16), 16, 10)).otherwise(F.conv(F.substring(name, 2, 16), 10, 10)).cast("decimal(20,0)")
+
+    def char(c: Column) -> Column:
+        bad = (c == 0) | (c > 0x10FFFF) | c.between(0xD800, 0xDFFF)
+        safe = F.when(bad, 0xFFFD).otherwise(c).cast("long")
+        return F.translate(F.decode(F.unhex(F.lpad(F.hex(safe), 8, "0")), "UTF-32"), "".join(WINDOWS), "".join(WINDOWS.values()))
+
+    return let(code, char)
+
+
+def decode_entities(text: Column, attribute: bool = False) -> Column:
+    """Character references, named and numeric, each decoded once; what isn't one stays as it is.
+
+    Old names count without a semicolon too, in text also as the beginning of a longer word, in an attribute only if
+    neither a letter, a digit nor an equals sign follows.
+    """
+    named, legacy = (F.from_json(F.lit(x), "map<string,string>") for x in NAMED)  # constants that are folded once
+
+    def piece(p: Column) -> Column:
+        parts = F.struct(F.regexp_extract(p, REFERENCE, 0).alias("all"), F.regexp_extract(p, REFERENCE, 1).alias("name"))
+
+        def decoded(r: Column) -> Column:
+            rest = F.substring(p, F.length(r["all"]) + 1, F.length(p))
+            ended = r["all"].endswith(";")
+            if attribute:
+                short = F.when(~rest.startswith("="), F.concat(F.try_element_at(legacy, r["name"]), rest))
+            else:
+                lead = F.regexp_extract(p, "^&(" + "|".join(LEGACY) + ")", 1)
+                short = F.when(lead != "", F.concat(F.try_element_at(legacy, lead), F.substring(p, F.length(lead) + 2, F.length(p))))
+            known = F.when(ended, F.concat(F.try_element_at(named, r["name"]), rest))
+            quick = F.when(r["all"] == "&amp;", F.concat(F.lit("&"), rest)).when(r["all"] == "&nbsp;", F.concat(F.lit("\u00a0"), rest))
+            return quick.when(r["name"] == "", p).when(r["name"].startswith("#"), F.concat(_number(r["name"]), rest)).otherwise(F.coalesce(known, short, p))
+
+        return F.when(p.startswith("&"), let(parts, decoded)).otherwise(p)
+
+    return let(text, lambda t: F.when(t.contains("&"), F.array_join(F.transform(F.split(t, "(?=&)"), piece), "")).otherwise(t))
 
 
 def _clean(text: Column) -> Column:
-    """Entities decoded, white space collapsed and trimmed."""
+    """References decoded, white space collapsed and trimmed."""
     return F.trim(F.regexp_replace(decode_entities(text), SPACES, " "))
 
 
 def title(html: Column) -> Column:
     """The text of the first title element; empty if there is none."""
-    return F.coalesce(_clean(F.regexp_extract(html, r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1)), F.lit(""))
+    return F.coalesce(_clean(F.regexp_extract(F.regexp_replace(html, HIDDEN, ""), TITLE, 1)), F.lit(""))
 
 
 def body_text(html: Column) -> Column:
-    """The text of the body (of all, without head, if no body tag is there): no scripts, styles, templates or comments."""
-    text = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
-    for tag in ("script", "style", "template", "head"):
-        text = F.regexp_replace(text, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", " " if tag == "head" else "")
-    text = F.regexp_replace(text, rf"(?i)</?({BLOCKS})\b[^>]*>", " ")
-    return F.coalesce(_clean(F.regexp_replace(text, r"<[/!?A-Za-z][^>]*>", "")), F.lit(""))
+    """The text of the body (of all, without head and titles, if no body tag is there): no scripts, styles, templates or comments.
+
+    Scripts and the like that are never closed reach to the end. A > in a quoted attribute ends no tag.
+    """
+    text = F.regexp_replace(F.regexp_replace(html, HIDDEN, ""), TITLE, " ")
+    text = F.regexp_replace(text, HEAD, " ")
+    text = F.regexp_replace(text, rf"(?i)</?(?:{BLOCKS})\b{ATTRIBUTES}(?:>|\z)", " ")
+    return F.coalesce(_clean(F.regexp_replace(text, TAG, "")), F.lit(""))
+
+
+def _href(tag: Column) -> Column:
+    """The value of a tag's href, decoded and trimmed; null if it has none."""
+    return let(F.regexp_extract(tag, HREF, 1), lambda x: F.when(x != "", F.trim(decode_entities(F.regexp_replace(x, "^[\"']|[\"']$", ""), attribute=True))))
 
 
 def links(html: Column, base: Column) -> Column:
-    """The distinct absolute targets of a[href], without blank, script, mail and telephone links and unreadable ones."""
-    text = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
-    text = F.regexp_replace(text, r"(?is)<script\b[^>]*>.*?</script\s*>", "")
-    found = F.regexp_extract_all(text, F.lit(r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""), F.lit(1))
-    found = F.transform(found, lambda x: F.trim(decode_entities(F.regexp_replace(x, "^[\"']|[\"']$", ""))))
-    found = F.filter(found, lambda x: (x != "") & ~x.rlike(r"(?i)^(javascript|mailto|tel):"))
-    found = F.transform(found, lambda x: U.resolve(x, base))
+    """The distinct absolute targets of a[href], without blank, script, mail and telephone links and unreadable ones.
+
+    They are resolved against the first base[href], which is itself resolved against `base`, if there is one.
+    """
+    def targets(text: Column) -> Column:
+        own = _href(F.regexp_extract(text, rf"(?is)<base[\s/]{ATTRIBUTES}>", 0))
+        start = F.coalesce(F.when(own != "", U.resolve(own, base)), base)
+        found = F.transform(F.regexp_extract_all(text, F.lit(rf"(?is)<a[\s/]{ATTRIBUTES}>"), F.lit(0)), _href)
+        found = F.filter(found, lambda x: (x != "") & ~x.rlike(r"(?i)^(javascript|mailto|tel):"))
+        return let(start, lambda b: F.transform(found, lambda x: U.resolve(x, b)))
+
+    found = let(F.regexp_replace(html, HIDDEN, ""), targets)
     return F.array_distinct(F.filter(F.coalesce(found, F.array().cast("array<string>")), lambda x: x.isNotNull()))
 
 

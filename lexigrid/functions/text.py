@@ -5,12 +5,13 @@ from __future__ import annotations
 import os
 import unicodedata
 from collections.abc import Callable, Iterable
+from dataclasses import dataclass
 from functools import lru_cache, reduce
+from operator import and_
 from pathlib import Path
 
 from pyspark.sql import Column, functions as F
 
-Normalizer = Callable[[Column], Column]
 Tokenizer = Callable[[Column], Column]
 
 # The English and Spanish stop words.
@@ -34,77 +35,175 @@ sean ser si sí siendo sin sobre sois solamente solo somos soy su sus tal tambi
 ti tiene tienen todo todos tu tus tú un una unas uno unos usted ustedes va vais vamos van varios vaya verdad vosotras
 vosotros voy y ya
 """.split()
+#: The word lists by the file names under which they may be asked for.
+BUNDLED = {"stopwords_en.txt": ENGLISH, "stopwords_es.txt": SPANISH}
 
 EDGES = "^[^a-z0-9]+|[^a-z0-9]+$"
+#: White space with what characters but a-z and 0-9 are next to it. A run of those begins where none is before it, so that
+#: each run is looked at once, however long it is.
+BETWEEN = r"(?<![^a-z0-9\s])[^a-z0-9\s]*+\s[^a-z0-9]*+"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), the value worked out once: in a lambda, an expression that is written twice is evaluated twice."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _listed(tokens: Column) -> Column:
+    return F.coalesce(tokens, F.array().cast("array<string>"))
 
 
 def whitespace_tokens(text: Column) -> Column:
     """Runs of anything but ASCII white space; null or blank: no tokens. Tokens of nothing but Unicode white space are no tokens."""
-    return F.filter(F.coalesce(F.split(text, r"\s+"), F.array().cast("array<string>")), lambda x: x.rlike(r"[^\p{javaWhitespace}]"))
+    odd = text.rlike(r"[\p{javaWhitespace}&&[^\s]]")  # else empty tokens are all there is to drop
+    parts = F.split(text, r"\s+")
+    return _listed(F.when(odd, F.filter(parts, lambda x: x.rlike(r"[^\p{javaWhitespace}]"))).otherwise(F.filter(parts, lambda x: x != "")))
 
 
 def pattern_tokens(pattern: str) -> Tokenizer:
     """A tokenizer that splits at a regular expression; empty tokens are dropped."""
-    return lambda text: F.filter(F.coalesce(F.split(text, pattern), F.array().cast("array<string>")), lambda x: F.trim(x) != "")
+    return lambda text: F.filter(_listed(F.split(text, pattern)), lambda x: F.trim(x) != "")
+
+
+@dataclass(frozen=True)
+class Step:
+    """Part of a normalizer: `change` makes a token into another one, `keeps` says whether that stays (null: it doesn't).
+
+    `whole`: whether change(text) changes each token of the text as change(token) would.
+    """
+
+    change: Callable[[Column], Column] | None = None
+    keeps: Callable[[Column], Column] | None = None
+    whole: bool = False
+
+
+class Normalizer:
+    """Steps from left to right; a token that one drops stays dropped. No steps: the token as it is.
+
+    Called with a token it gives the token or null. `over` applies it to an array of tokens: one transform for
+    the changes up to a test, one filter for the tests, so that nothing is evaluated twice.
+    """
+
+    def __init__(self, *steps: Step):
+        self.steps = steps
+
+    def __call__(self, token: Column) -> Column:
+        for step in self.steps:
+            if step.change:
+                token = step.change(token)
+            if step.keeps:
+                token = let(token, _kept_by(step.keeps))
+        return token
 
+    def over(self, tokens: Column, steps: tuple[Step, ...] | None = None) -> Column:
+        changes: list = []
+        tests: list = []
 
-def _or_dropped(token: Column) -> Column:
-    return F.when(token != "", token)
+        def settled(tokens: Column) -> Column:
+            nonlocal changes, tests
+            made, held = tuple(changes), tuple(tests)
+            changes, tests = [], []
+            tokens = F.transform(tokens, lambda x: _applied(made, x)) if made else tokens
+            return F.filter(tokens, lambda x: reduce(and_, (f(x) for f in held))) if held else tokens
 
+        for step in self.steps if steps is None else steps:
+            if step.change:
+                if tests:
+                    tokens = settled(tokens)
+                changes.append(step.change)
+            if step.keeps:
+                tests.append(step.keeps)
+        return settled(tokens)
 
-def lowercase(token: Column) -> Column:
-    return F.lower(token)
 
+def _applied(functions, x: Column) -> Column:
+    return reduce(lambda value, f: f(value), functions, x)
 
-def trim_non_alphanumeric(token: Column) -> Column:
-    """Without the characters at its edges that aren't a-z or 0-9 (capitals and accented letters among them)."""
-    return _or_dropped(F.regexp_replace(token, EDGES, ""))
 
+def _kept_by(test: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    return lambda x: F.when(test(x), x)
 
-def basic(token: Column) -> Column:
-    return trim_non_alphanumeric(lowercase(token))
+
+def _there(token: Column) -> Column:
+    return token != ""
+
+
+_LOWER = Step(F.lower, whole=True)
+_TRIM = Step(lambda token: F.regexp_replace(token, EDGES, ""), _there)
 
 
 @lru_cache(maxsize=1)
 def _folding() -> tuple[str, str]:
-    """Letters that decompose to one base character and marks, and those bases, for all of the basic plane."""
+    """Characters that decompose to one base character and marks, and those bases (Hangul syllables aren't among them)."""
     pairs = []
-    for code in range(0xC0, 0x10000):
+    for code in range(0xC0, 0x30000):
         c = chr(code)
-        whole = unicodedata.normalize("NFD", c)
-        if whole != c and not 0xAC00 <= code <= 0xD7A3:
+        if not 0xAC00 <= code <= 0xDFFF and (whole := unicodedata.normalize("NFD", c)) != c:
             rest = "".join(x for x in whole if not unicodedata.category(x).startswith("M"))
             if len(rest) == 1:
                 pairs.append((c, rest))
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
-def fold_accents(token: Column) -> Column:
-    """Canonically decomposed, without marks; case stays. A token of marks only is dropped."""
+def _jamo(text: Column) -> Column:
+    """The text with Hangul syllables taken apart, by the arithmetic of their code points."""
+    leads, vowels, tails = ("".join(map(chr, range(a, a + n))) for a, n in ((0x1100, 19), (0x1161, 21), (0x11A8, 27)))
+
+    def apart(c: Column) -> Column:
+        s = F.ascii(c) - 0xAC00
+        pick = lambda of, at: F.substring(F.lit(of), at.cast("int"), F.lit(1))
+        parts = F.concat(pick(leads, F.floor(s / 588) + 1), pick(vowels, F.floor((s % 588) / 28) + 1), F.when(s % 28 > 0, pick(tails, s % 28)).otherwise(""))
+        return F.when(c.between("가", "힣"), parts).otherwise(c)
+
+    return F.when(text.rlike("[가-힣]"), F.array_join(F.transform(F.split(text, ""), apart), "")).otherwise(text)
+
+
+def _folded(token: Column) -> Column:
     source, target = _folding()
-    return _or_dropped(F.regexp_replace(F.translate(token, source, target), r"\p{M}+", ""))
+    return F.regexp_replace(F.translate(_jamo(token), source, target), r"\p{M}+", "")
+
+
+_FOLD = Step(_folded, _there, whole=True)
+
+lowercase = Normalizer(_LOWER)
+#: Without the characters at its edges that aren't a-z or 0-9 (capitals and accented letters among them).
+trim_non_alphanumeric = Normalizer(_TRIM)
+basic = Normalizer(_LOWER, _TRIM)
+#: Canonically decomposed, without marks; case stays. A token of marks only is dropped.
+fold_accents = Normalizer(_FOLD)
 
 
 def stop_words(words: Iterable[str]) -> Normalizer:
     """Drops the tokens that are exactly one of the words."""
     known = sorted({w for w in words if w})
-    return (lambda token: F.when(~token.isin(known), token)) if known else (lambda token: token)
+    return Normalizer(Step(keeps=lambda token: ~token.isin(known))) if known else Normalizer()
+
+
+def custom(change: Callable[[Column], Column]) -> Normalizer:
+    """Any function of a token; null drops it."""
+    return Normalizer(Step(change, lambda token: token.isNotNull()))
 
 
 def load_stop_words(path: str | None = None) -> frozenset[str]:
     """Words of a file, one a line, trimmed; path None: the file that IR_STOPWORDS_PATH names, or no words.
 
-    `file:` before a path is allowed. A file that is named but can't be read is an error.
+    `classpath:` and a bare name of BUNDLED mean the lists that come with this package, `file:` or any other path a file.
+    What is named but can't be read is an error.
     """
     path = path or os.environ.get("IR_STOPWORDS_PATH")
     if not path:
         return frozenset()
+    bare = path.removeprefix("classpath:").lstrip("/")
+    if bare in BUNDLED and not path.startswith("file:"):
+        return frozenset(BUNDLED[bare])
+    if path.startswith("classpath:"):
+        raise FileNotFoundError(f"no such bundled list: {bare}")
     return frozenset(w for line in Path(path.removeprefix("file:")).read_text(encoding="utf-8").splitlines() if (w := line.strip()))
 
 
-def chain(*steps: Normalizer) -> Normalizer:
-    """The steps from left to right; a token that one drops stays dropped. No steps: the token as it is."""
-    return lambda token: reduce(lambda t, step: step(t), steps, token)
+def chain(*normalizers: Normalizer | Callable[[Column], Column]) -> Normalizer:
+    """The normalizers from left to right; a token that one drops stays dropped. None: the token as it is."""
+    return Normalizer(*(step for n in normalizers for step in (n if isinstance(n, Normalizer) else custom(n)).steps))
 
 
 minimal = chain(lowercase, trim_non_alphanumeric)
@@ -115,5 +214,24 @@ PIPELINES: dict[str, Normalizer] = {"minimal": minimal, "english": english, "spa
 
 
 def terms(text: Column, normalizer: Normalizer = english, tokenizer: Tokenizer = whitespace_tokens) -> Column:
-    """The normalized tokens of a text that aren't dropped or blank, in order."""
-    return F.filter(F.transform(tokenizer(text), normalizer), lambda x: x.isNotNull() & (F.trim(x) != ""))
+    """The normalized tokens of a text that aren't dropped or blank, in order.
+
+    Changes that work on whole texts as on tokens are made to the text. If trimming follows, white space is split off
+    with the characters that trimming would take: one pass over the text instead of one for each token.
+    """
+    normalizer = normalizer if isinstance(normalizer, Normalizer) else custom(normalizer)
+    steps = list(normalizer.steps)
+    if tokenizer is whitespace_tokens:
+        whole = []
+        while steps and steps[0].whole:
+            whole.append(steps.pop(0))
+        if steps and steps[0] is _TRIM:
+            text = _applied([s.change for s in whole], text)
+            tokens = _listed(F.split(F.concat(F.lit(" "), text, F.lit(" ")), BETWEEN))
+            rest = Normalizer(Step(keeps=_there), *steps[1:])
+            return rest.over(tokens) if not any(s.change for s in steps[1:]) else F.filter(rest.over(tokens), _told)
+    return F.filter(normalizer.over(tokenizer(text)), _told)
+
+
+def _told(token: Column) -> Column:
+    return token.isNotNull() & (F.trim(token) != "")

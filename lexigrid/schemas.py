@@ -1,17 +1,26 @@
-"""Schemas of the tables that the engine reads and writes."""
+"""Schemas of the tables that the engine takes in and stores, and a check of a table against one."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-METADATA = T.StructType.fromDDL("title STRING, source STRING, length INT, unique_terms INT, term_frequencies MAP<STRING,INT>, attributes MAP<STRING,STRING>")
-DOCUMENTS = T.StructType.fromDDL("id STRING, raw_content STRING, normalized_content STRING, fields MAP<STRING,STRING>").add("metadata", METADATA)
-PAGES = T.StructType.fromDDL("url STRING, raw_html STRING, title STRING, body_text STRING, status_code INT, content_type STRING, fetched_at TIMESTAMP, headers MAP<STRING,STRING>")
-RESPONSES = T.StructType.fromDDL("uri STRING, status_code INT, body STRING, content_type STRING, headers MAP<STRING,ARRAY<STRING>>")
-QUERIES = T.StructType.fromDDL("query_id STRING, text STRING")
-POSTINGS = T.StructType.fromDDL("term STRING, doc_id STRING, tf INT, positions ARRAY<INT>")
-VOCABULARY = T.StructType.fromDDL("term STRING, term_id BIGINT")
-VECTORS = T.StructType.fromDDL("doc_id STRING, term STRING, weight DOUBLE")
-NORMS = T.StructType.fromDDL("doc_id STRING, dims BIGINT, norm DOUBLE")
-RESULTS = T.StructType.fromDDL("query_id STRING, doc_id STRING, score DOUBLE, matched_terms ARRAY<STRING>")
-FRONTIER = T.StructType.fromDDL("url STRING, depth INT, root STRING")
+from pyspark.sql import DataFrame
+from pyspark.sql.types import IntegerType, MapType, StringType, StructField, StructType
+
+_TEXT, _INT = StringType(), IntegerType()
+
+
+def _struct(**fields) -> StructType:
+    """A schema without a session at hand, which reading it from text would need."""
+    return StructType([StructField(name, kind) for name, kind in fields.items()])
+
+
+METADATA = _struct(title=_TEXT, source=_TEXT, length=_INT, unique_terms=_INT, term_frequencies=MapType(_TEXT, _INT), attributes=MapType(_TEXT, _TEXT))
+DOCUMENTS = _struct(id=_TEXT, raw_content=_TEXT, normalized_content=_TEXT, fields=MapType(_TEXT, _TEXT), metadata=METADATA)
+
+
+def checked(df: DataFrame, schema: StructType) -> DataFrame:
+    """The schema's columns of a table, in its order; a column that is missing or of another type is an error."""
+    kinds = dict(df.dtypes)
+    wrong = [f.name for f in schema if kinds.get(f.name) != f.dataType.simpleString()]
+    if wrong:
+        raise ValueError(f"missing or of another type: {', '.join(wrong)}")
+    return df.select(*schema.names)

