@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
+from operator import and_
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -26,9 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a folder of our own only where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, one of our own on a local master, an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="lexigrid-")
         spark.sparkContext.setCheckpointDir(found)
     if not spark.sparkContext.getCheckpointDir():
@@ -37,8 +41,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder, deleted when the driver ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete the files of materialised tables that nothing reads any more."""
+    for df in tables:
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def materialised(df: DataFrame, what: str) -> DataFrame:
@@ -48,24 +63,26 @@ def materialised(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, weight: str, total: int, by: list[str], how: str = "inner", parts: int = 1000, salts: int = 64) -> DataFrame:
-    """Join on one key where a few keys may hold most rows of `left`, without a hot task and with one pass over `left`.
+def spread_join(left: DataFrame, right: DataFrame, key: str | list[str], weight: str, total: int, by: list[str], how: str = "inner", parts: int = 1000) -> DataFrame:
+    """Join on a key (of one column or several) where a few keys may hold most rows of `left`, without a hot task and with one pass over `left`.
 
     `right` has each key once, few narrow columns, and in `weight` the number of rows of `left` with that key. At most
     `parts` keys can hold a `parts`-th of `total` rows or more each: their list is broadcast, of a proven size. Rows of
-    `left` with such a key are dealt to `salts` parts by the columns `by`, and its one row in `right` is copied to each.
-    `weight` isn't in the result. Null keys find no partner.
+    `left` with such a key are dealt, by the columns `by`, to so many parts that each has about half of that share, and
+    its one row in `right` is copied to each. `weight` isn't in the result. Null keys find no partner.
     """
     limit = max(2, -(-int(total) // parts))
-    heavy = F.broadcast(right.where(F.col(weight) >= limit).select(F.col(key).alias("__heavy")))
-    left = left.join(heavy, F.col(key) == F.col("__heavy"), "left")
-    salt = F.when(F.col("__heavy").isNotNull(), F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int")).otherwise(0)
-    left = left.withColumn("__salt", salt).drop("__heavy")
-    copies = F.when(F.col(weight) >= limit, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    return left.join(right.withColumn("__salt", F.explode(copies)).drop(weight), [key, "__salt"], how).drop("__salt")
+    salts = F.ceil(F.col(weight) * 2 / limit).cast("int")
+    keys = [key] if isinstance(key, str) else key
+    heavy = F.broadcast(right.where(F.col(weight) >= limit).select(*[F.col(k).alias(f"__{k}") for k in keys], salts.alias("__salts")))
+    left = left.join(heavy, reduce(and_, (F.col(k) == F.col(f"__{k}") for k in keys)), "left")
+    salt = F.when(F.col("__salts").isNotNull(), F.pmod(F.xxhash64(*by), F.col("__salts")).cast("int")).otherwise(0)
+    left = left.withColumn("__salt", salt).drop(*[f"__{k}" for k in keys], "__salts")
+    copies = F.when(F.col(weight) >= limit, F.sequence(F.lit(0), salts - 1)).otherwise(F.array(F.lit(0)))
+    return left.join(right.withColumn("__salt", F.explode(copies)).drop(weight), [*keys, "__salt"], how).drop("__salt")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of `edges` (a, b: long): one row (node, root) for each node, root its component's smallest node.
 
     Alternating large-star and small-star steps; each keeps the number of edges linear and ends in stars around the
@@ -76,7 +93,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     now = edges.where("a is not null and b is not null and a <> b")
     now = now.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now = materialised(now, "edges")
-    for _ in range(rounds):
+    while True:  # each round shortens every path, so it ends after about log(nodes) of them
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
         large = both.join(low, F.col("a") == F.col("k")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -88,11 +105,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         after = small.select("e.a", "e.b").where("a <> b").distinct()
         after = materialised(after, "edges")
         same = _digest(after) == _digest(now)
+        dropped(now)
         now = after
         if same:
             break
-    else:
-        raise RuntimeError("components did not settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 

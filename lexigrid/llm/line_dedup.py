@@ -7,15 +7,19 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import components, materialised, spread_join
 
 THRESHOLD, LEAST_CHARS = 1, 20
-#: Segment groups with more distinct lines than this don't make pairs but stars around holes (see `_stars`).
+#: Segment groups with more distinct lines than this don't make pairs but are split by segments of what is left of the lines.
 GROUP = 32
 
 
+def _digest(line: Column) -> tuple[Column, Column]:
+    """128 bits that tell lines apart, as two numbers: cheaper to group by than bytes."""
+    return F.xxhash64(line).alias("h"), F.xxhash64(F.lit("second"), line).alias("g")
+
+
 def lines(docs: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
-    """The lines, split at \\n, of `least` characters or more besides white space at the ends: doc_id, pos, line, id, h."""
+    """The lines, split at \\n, of `least` characters or more besides white space at the ends: doc_id, pos, line, h, g."""
     split = docs.select(F.col("doc_id"), F.posexplode(F.split(F.col("text"), "\n")).alias("pos", "line"))
-    split = split.where(F.length(F.trim("line")) >= least)
-    return split.select("doc_id", "pos", "line", F.unhex(F.md5(F.col("line").cast("binary"))).alias("id"), F.xxhash64("line").alias("h"))
+    return split.where(F.length(F.trim("line")) >= least).select("doc_id", "pos", "line", *_digest(F.col("line")))
 
 
 def _segment(length: Column, i: int, k: int) -> tuple[Column, Column]:
@@ -27,24 +31,55 @@ def _segment(length: Column, i: int, k: int) -> tuple[Column, Column]:
     return (short * i + before + 1).cast("int"), size.cast("int")
 
 
+def _cuts(length: Column, k: int, d: int):
+    """(i, shift, place, size) of the substrings by which a string of that length meets strings shorter by d.
+
+    Of the substrings that could be segment i of a string shorter by d only those count whose shift leaves both sides
+    enough edits (Pass-Join's multi-match-aware windows).
+    """
+    for i in range(k + 1):
+        start, size = _segment(length - d, i, k)
+        for shift in range(max(-i, d - (k - i)), min(i, d + (k - i)) + 1):
+            yield i, shift, start + shift, size
+
+
 def segment_keys(line: Column, k: int) -> Column:
     """An array of (key, own): hashes of (length, segment number, substring) under which a line is indexed (own) or probes.
 
-    A line probes the indexes of its own length and up to k less. Of the substrings that could be segment i of a line
-    shorter by d only those count whose shift leaves both sides enough edits (Pass-Join's multi-match-aware windows).
+    A line probes the indexes of its own length and up to k less.
     """
     n = F.length(line)
-    keys = []
-    for d in range(k + 1):
-        for i in range(k + 1):
-            start, size = _segment(n - d, i, k)
-            low, high = max(-i, d - (k - i)), min(i, d + (k - i))
-            for shift in range(low, high + 1):
-                key = F.xxhash64(F.lit(i), n - d, F.substring(line, start + shift, size))
-                keys.append(F.struct(key.alias("key"), F.lit(d == 0 and shift == 0).alias("own")))
+    keys = [F.struct(F.xxhash64(F.lit(i), n - d, F.substring(line, at, size)).alias("key"), F.lit(d == 0 and shift == 0).alias("own")) for d in range(k + 1) for i, shift, at, size in _cuts(n, k, d)]
     return F.array(*keys)
 
 
+def _states(rows: DataFrame, k: int) -> DataFrame:
+    """Members of groups one segment further: key, node, own, d, t, r from the same columns (key null for whole lines, of any d).
+
+    t is what is left of the line, r the places of its characters in the line. Members of a group are of one length, but
+    for those that probe it (d longer). Cutting the segment that they share off two lines leaves strings within as many
+    edits, which share a segment again.
+    """
+    n = F.length("t")
+
+    def cut(d: int) -> Column:
+        found = []
+        for i, shift, at, size in _cuts(n, k, d):
+            key = F.xxhash64(F.lit(i), n - d, F.substring("t", at, size))
+            rest = F.concat(F.substring(F.col("t"), F.lit(1), at - 1), F.substring(F.col("t"), at + size, n))
+            places = F.concat(F.slice("r", F.lit(1), at - 1), F.slice("r", at + size, F.greatest(F.lit(0), n - (at + size) + 1)))
+            key = F.when(F.col("key").isNull(), key).otherwise(F.xxhash64("key", key))
+            own = F.col("own") & F.lit(d == 0 and shift == 0)
+            found.append(F.struct(key.alias("key"), own.alias("own"), F.lit(d).alias("d"), rest.alias("t"), places.alias("r")))
+        return F.array(*found)
+
+    out = None
+    for d in range(k + 1):
+        part = rows.where((F.col("d") == d) | F.col("d").isNull()).select("node", F.explode(cut(d)).alias("s")).select("s.key", "node", "s.own", "s.d", "s.t", "s.r")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def _let(value: Column, body) -> Column:
     """body(value), the value worked out once: an expression written in twice is evaluated twice."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -110,56 +145,83 @@ def within(a: Column, b: Column, k: int, probe: int = 16) -> Column:
     return _let(differing(a, b), lambda s: F.when((F.abs(F.length(s["x"]) - F.length(s["y"])) <= k) & near(s), edit_distance(s["x"], s["y"], k) <= k).otherwise(False))
 
 
-def _stars(hot: DataFrame) -> DataFrame:
-    """Edges (a, b) that connect the lines of `hot` (h, line) exactly as all pairs within one edit would, none of them a pair list.
+def _classes(leaves: DataFrame, k: int) -> DataFrame:
+    """Edges (a, b) that connect lines as all pairs within k edits would, from `leaves` (node, line, r): at most 2k places of a line.
 
-    Lines that are equal but for the character at one place all lie within one edit of each other, and a line lies
-    within one edit of every line that it is made from by leaving out a character. So each line is filed under its
-    holes and under its shortened forms; a hole's lines form a star around the smallest, a shortened form's around
-    the line that equals it, if there is one.
+    A line without some of these characters, k at most, is a kept string, and where in it they were is the line's class.
+    Lines of one class lie within k edits of each other; those of two classes of a string do if, place by place, the
+    greater number of characters comes to k or less. So a class is a star, and classes are linked by their centres.
     """
-    n = F.length("line")
-    cut = lambda p: F.concat(F.substring(F.col("line"), F.lit(1), p - 1), F.substring(F.col("line"), p + 1, n))
-    place = hot.select("h", "line", n.alias("n"), F.explode(F.sequence(F.lit(1), n)).alias("p"))
-    place = place.select("h", "n", "p", cut(F.col("p")).alias("cut"))
-    holes = place.select(F.xxhash64(F.lit("hole"), "n", "p", "cut").alias("key"), "h", F.lit(0).alias("kind"))
-    short = place.select(F.xxhash64(F.lit("whole"), "cut").alias("key"), "h", F.lit(1).alias("kind"))
-    whole = hot.select(F.xxhash64(F.lit("whole"), "line").alias("key"), "h", F.lit(2).alias("kind"))
-    rows = holes.union(short).union(whole)
-    centre = rows.groupBy("key").agg(F.min(F.when(F.col("kind") == 0, F.col("h"))).alias("hole"), F.min(F.when(F.col("kind") == 2, F.col("h"))).alias("own"), F.count("*").alias("n")).where("n > 1")
-    centre = centre.select("key", F.coalesce("hole", "own").alias("b")).where("b is not null")
-    return rows.select("key", F.col("h").alias("a")).join(centre, "key").where("a <> b").select("a", "b").distinct()
-
-
-def near_links(rows: DataFrame, firsts: DataFrame, k: int, group: int = GROUP) -> DataFrame:
-    """Edges (a, b) that connect different lines, by h, as all pairs within k edits would.
-
-    `rows` are the lines (doc_id, pos, line, h), `firsts` (h, doc_id, pos) a place of each. Lines within k edits share a
-    segment of the shorter one; groups of lines with such a key are joined in themselves and their pairs verified.
-    With k = 1 groups of more than `group` lines don't make pairs but go through `_stars`, which loses none.
+    masks = F.filter(F.sequence(F.lit(0), F.pow(F.lit(2.0), F.size("r")).cast("int") - 1), lambda m: F.bit_count(m) <= k)
+    rows = leaves.select("node", "line", F.array_sort("r").alias("r"), F.explode(masks).alias("mask"))
+    out = F.filter(F.transform("r", lambda p, i: F.when(F.floor(F.col("mask") / F.pow(F.lit(2.0), i)) % 2 == 1, p)), lambda p: p.isNotNull())
+    rows = rows.select("node", "line", out.alias("out"))
+    kept = F.array_join(F.filter(F.split("line", ""), lambda c, i: ~F.array_contains("out", i)), "")
+    rows = rows.select("node", *_digest(kept), F.transform("out", lambda p, i: p - i).alias("at")).distinct()
+    rows = materialised(rows, "line-leaves")
+    centres = rows.groupBy("h", "g", "at").agg(F.min("node").alias("b"))
+    stars = rows.join(centres, ["h", "g", "at"]).where("node <> b").select(F.col("node").alias("a"), "b")
+    count = lambda of, place: F.size(F.filter(of, lambda x: x == place))
+    most = F.aggregate(F.array_union("at", "o_at"), F.lit(0), lambda n, place: n + F.greatest(count("at", place), count("o_at", place)))
+    # two different classes of k characters each never come to k, so one side has fewer
+    few = centres.where(F.size("at") < k).select("h", "g", F.col("at").alias("o_at"), F.col("b").alias("a"))
+    across = centres.join(few, ["h", "g"]).where("at <> o_at and a <> b").where(most <= k).select("a", "b")
+    return stars.unionByName(across)
+
+
+def near_links(rows: DataFrame, firsts: DataFrame, k: int, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
+    """Edges (a, b) of nodes that connect different lines as all pairs within k edits would, and the nodes (node, h, g).
+
+    `rows` are the lines (doc_id, pos, line, h, g), `firsts` (h, g, doc_id, pos) a place of each. Lines within k edits share
+    a segment of the shorter one; groups of lines with such a key are joined in themselves and their pairs verified.
+    Groups of more than `group` lines are split by the segments of what the lines have besides the shared one, and so on
+    until the groups are small or no more than k characters are left (see _classes). A round halves (k = 1) what is
+    left, so long lines cost their length times its logarithm, and no group makes all its pairs.
     """
-    probes = rows.select("doc_id", "pos", "h", F.explode(segment_keys(F.col("line"), k)).alias("k")).select("doc_id", "pos", "h", "k.key", "k.own")
+    probes = rows.select("doc_id", "pos", "h", "g", F.explode(segment_keys(F.col("line"), k)).alias("k")).select("doc_id", "pos", "h", "g", "k.key", "k.own")
     shared = probes.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.max("own").alias("own"), F.count("*").alias("n")).where("low <> high and own").select("key", "n")
     shared = materialised(shared, "line-keys")
     total = shared.agg(F.sum("n")).first()[0] or 0
-    met = spread_join(probes, shared, "key", "n", total, ["doc_id", "pos"]).groupBy("key", "h").agg(F.max("own").alias("own"))
+    met = spread_join(probes, shared, "key", "n", total, ["doc_id", "pos"]).groupBy("key", "h", "g").agg(F.max("own").alias("own"))
     met = materialised(met, "line-groups")
-    sizes = met.groupBy("key").agg(F.count("*").alias("n"))
-    limit = group if k == 1 else 1 << 62
-    small = met.join(sizes.where(F.col("n") <= limit).select("key"), "key")
-    other = small.select(F.col("key").alias("o_key"), F.col("h").alias("b"), F.col("own").alias("o_own"))
-    pairs = small.join(other, F.col("key") == F.col("o_key")).where("h < b and (own or o_own)").select(F.col("h").alias("a"), "b").distinct()
-    pairs = materialised(pairs, "line-pairs")
-    hot = met.join(sizes.where(F.col("n") > limit).select("key"), "key", "left_semi").select("h").distinct()
-    ids = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct().withColumn("hot", F.lit(False)).union(hot.withColumn("hot", F.lit(True))).groupBy("h").agg(F.max("hot").alias("hot"))
-    places = firsts.join(ids, "h").select("h", "hot", F.col("doc_id").alias("f_doc"), F.col("pos").alias("f_pos"))
-    texts = rows.select("doc_id", "pos", "line").join(places, F.col("doc_id").eqNullSafe(F.col("f_doc")) & (F.col("pos") == F.col("f_pos"))).select("h", "hot", "line")
-    texts = materialised(texts.dropDuplicates(["h"]), "line-texts")
-    left = texts.select(F.col("h").alias("a"), F.col("line").alias("x"))
-    right = texts.select(F.col("h").alias("b"), F.col("line").alias("y"))
-    close = pairs.join(left, "a").join(right, "b").where(F.abs(F.length("x") - F.length("y")) <= k)
+    places = firsts.join(met.select("h", "g").distinct(), ["h", "g"]).select("h", "g", F.col("doc_id").alias("f_doc"), F.col("pos").alias("f_pos"))
+    texts = rows.select("doc_id", "pos", "line").join(places, F.col("doc_id").eqNullSafe(F.col("f_doc")) & (F.col("pos") == F.col("f_pos")))
+    h, g = _digest(F.col("line"))
+    texts = texts.where((F.col("h") == h) & (F.col("g") == g)).select("h", "g", "line").dropDuplicates(["h", "g"])
+    texts = materialised(texts.withColumn("node", F.monotonically_increasing_id()), "line-texts")
+    members = materialised(met.join(texts.select("h", "g", "node"), ["h", "g"]).select("key", "node", "own"), "line-members")
+
+    whole = texts.select(F.lit(None).cast("long").alias("key"), "node", F.lit(True).alias("own"), F.lit(None).cast("int").alias("d"), F.col("line").alias("t"), F.sequence(F.lit(0), F.length("line") - 1).alias("r"))
+    state, pairs, leaves = None, None, None
+    while True:
+        sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.max("own").alias("any")).where("any and n > 1")
+        small = members.join(sizes.where(F.col("n") <= group).select("key"), "key").distinct()
+        other = small.select(F.col("key").alias("o_key"), F.col("node").alias("b"), F.col("own").alias("o_own"))
+        found = small.join(other, F.col("key") == F.col("o_key")).where("node < b and (own or o_own)").select(F.col("node").alias("a"), "b").distinct()
+        pairs = found if pairs is None else pairs.unionByName(found)
+        hot = materialised(sizes.where(F.col("n") > group).select("key", "n"), "line-hot")
+        count = hot.agg(F.sum("n")).first()[0] or 0
+        if not count:
+            break
+        if state is None:
+            own = spread_join(members.select("key", "node"), hot, "key", "n", count, ["node"])
+            state = _states(whole.join(own.select("node").distinct(), "node"), k).join(own, ["key", "node"])
+        else:
+            state = spread_join(state, hot, "key", "n", count, ["node"])
+        state = materialised(state, "line-states")
+        last = F.length("t") - F.col("d") <= k
+        leaf = state.where(last).select("node", "r")
+        leaves = leaf if leaves is None else leaves.unionByName(leaf)
+        state = materialised(_states(state.where(~last), k), "line-states")
+        members = state.select("key", "node", "own")
+
+    left = texts.select(F.col("node").alias("a"), F.col("line").alias("x"))
+    right = texts.select(F.col("node").alias("b"), F.col("line").alias("y"))
+    close = pairs.distinct().join(left, "a").join(right, "b").where(F.abs(F.length("x") - F.length("y")) <= k)
     edges = close.where(within(F.col("x"), F.col("y"), k)).select("a", "b")
-    return edges.unionByName(_stars(texts.where("hot").select("h", "line"))) if k == 1 else edges
+    if leaves is not None:
+        edges = edges.unionByName(_classes(leaves.distinct().join(texts.select("node", "line"), "node"), k))
+    return edges, texts.select("node", "h", "g")
 
 
 def dropped_lines(docs: DataFrame, *, threshold: int = THRESHOLD, least: int = LEAST_CHARS) -> DataFrame:
@@ -170,22 +232,23 @@ def dropped_lines(docs: DataFrame, *, threshold: int = THRESHOLD, least: int = L
     (doc_id, pos) stays. Lines of under `least` characters, besides spaces at their ends, stay and link nothing.
 
     A null text has no lines. Rows with one doc_id are one document: a line that stays at a place stays in all of
-    them. A null doc_id comes before all others. Lines of any length are hashed and compared whole. Equal lines
-    have equal MD5 digests; different ones are told apart by XXH64 in links.
+    them. A null doc_id comes before all others. Lines of any length are hashed and compared whole; lines are equal if
+    128 bits of hash are.
     """
     rows = lines(docs, least)
     place = F.struct("doc_id", "pos")
-    own = rows.groupBy("id", "h").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+    own = rows.groupBy("h", "g").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     own = materialised(own, "line-ids")
-    firsts = own.select("h", "first.doc_id", "first.pos")
-    roots = materialised(components(near_links(rows, firsts, threshold)), "line-roots")
-    linked = own.join(roots, F.col("h") == F.col("node"))
+    firsts = own.select("h", "g", "first.doc_id", "first.pos")
+    edges, nodes = near_links(rows, firsts, threshold)
+    roots = materialised(components(edges).join(nodes, "node").select("h", "g", "root"), "line-roots")
+    linked = own.join(roots, ["h", "g"])
     least_of = linked.groupBy("root").agg(F.min("first").alias("keep")).withColumnRenamed("root", "r")
-    linked = linked.join(least_of, F.col("root") == F.col("r")).select("id", "first", "n", "keep")
-    alone = own.where("n > 1").join(roots, F.col("h") == F.col("node"), "left_anti").select("id", "first", "n", F.col("first").alias("keep"))
+    linked = linked.join(least_of, F.col("root") == F.col("r")).select("h", "g", "first", "n", "keep")
+    alone = own.where("n > 1").join(roots, ["h", "g"], "left_anti").select("h", "g", "first", "n", F.col("first").alias("keep"))
     classes = materialised(linked.unionByName(alone), "line-classes")
     total = classes.agg(F.sum("n")).first()[0] or 0
-    met = spread_join(rows.select("doc_id", "pos", "id"), classes, "id", "n", total, ["doc_id", "pos"])
+    met = spread_join(rows.select("doc_id", "pos", "h", "g"), classes, ["h", "g"], "n", total, ["doc_id", "pos"])
     same = F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("pos") == F.col("keep.pos"))
     differs = ~(F.col("first.doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("first.pos") == F.col("keep.pos")))
     return met.where(~same).select("doc_id", "pos", differs.alias("near"))
@@ -214,8 +277,8 @@ def without_repeated_lines(docs: DataFrame, **options) -> DataFrame:
     """
     gone = _by_document(docs, **options).select(F.col("g_id").alias("__id"), F.col("gone").alias("__gone"))
     rows = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(F.split("text", "\n")) - 1), F.col("__gone"))
-    text = F.array_join(F.transform(kept, lambda i: F.get(F.split("text", "\n"), i)), "\n")
+    staying = lambda parts: F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__gone")), lambda i: F.get(parts, i))
+    text = F.array_join(_let(F.split("text", "\n"), staying), "\n")  # split once, however many lines there are
     rows = rows.withColumn("__text", F.when(F.col("__gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(text))
     columns = [F.col("__text").alias("text") if c == "text" else F.length("__text").cast(t).alias(c) if c == "n_chars" else F.col(c) for c, t in docs.dtypes]
     return rows.select(*columns)

@@ -58,9 +58,9 @@ def _rows(seed, n=30):
     return [(draw.randrange(50), "\n".join(mutated(draw, draw.choice(base), draw.choice([0, 0, 1, 1, 2, 3])) for _ in range(draw.randrange(1, 6)))) for _ in range(n)]
 
 
-@pytest.mark.parametrize("seed,k,group", [(1, 1, 32), (2, 1, 2), (3, 1, 1), (4, 2, 32), (5, 3, 32)])
+@pytest.mark.parametrize("seed,k,group", [(1, 1, 32), (2, 1, 2), (3, 1, 1), (4, 2, 32), (5, 3, 32), (6, 2, 3), (8, 3, 4)])
 def test_equals_brute_force(spark, monkeypatch, seed, k, group):
-    """Small groups force the lines through stars, which must connect as much as pairs."""
+    """Small limits force the lines through split groups and classes, which must connect as much as pairs."""
     monkeypatch.setattr(D.near_links, "__defaults__", (group,))
     rows = list({d: (d, t) for d, t in _rows(seed)}.values())
     got = {(r["doc_id"], r["pos"]) for r in D.dropped_lines(frame(spark, rows), threshold=k).collect()}
@@ -93,7 +93,7 @@ def test_close_lines_share_a_key(spark):
 def test_edge_cases(spark):
     long = "x" * 150_000
     rows = [(3, "A line that comes again here.\nshort\n\nA line that comes again here!"), (1, "A line that comes again here."), (2, None), (4, ""), (5, "\n\n"), (1, "A line that comes again here."), (6, f"{long}\n{long}y"), (None, "Only null ids have this line here.\nz"), (7, "Only null ids have this line here.")]
-    docs = clashing(frame(spark, rows), "pos", "line", "gone", "near", "id", "h")
+    docs = clashing(frame(spark, rows), "pos", "line", "gone", "near", "node", "h", "g", "key")
     out = D.without_repeated_lines(docs)
     assert out.columns == docs.columns
     got = sorted(((r["doc_id"], r["text"], r["n_chars"]) for r in out.collect()), key=str)
@@ -111,6 +111,19 @@ def test_hot_lines_and_numbered_lines(spark):
     assert got == {(i, p) for i in range(1, 500) for p in (0, 1)}
 
 
+def test_long_hot_lines_and_documents_of_many_lines(spark):
+    """Forty lines of 100,000 characters that share nearly all of them, and one document of 32,000 lines."""
+    draw = random.Random(9)
+    long = "".join(draw.choice("abcdefgh ") for _ in range(100_000))
+    rows = [(0, long), *[(i, long[: 2000 * i] + draw.choice(["#", "", "##"]) + long[2000 * i + 1 :]) for i in range(1, 41)]]
+    gone = {(r["doc_id"], r["pos"]) for r in D.dropped_lines(frame(spark, rows)).collect()}
+    # "##" for one character is a replacement and an insertion, two edits from the first line
+    assert gone == {(i, 0) for i, t in rows if i and len(t) <= len(long)}
+    many = "\n".join(f"Line {i % 16_000 * 7919:012d} of a very long document" for i in range(32_000))
+    out = D.without_repeated_lines(frame(spark, [(1, many)])).first()["text"].split("\n")
+    assert len(out) <= 16_000 and out[0] == many.split("\n")[0]
+
+
 def test_query_equals_sql(spark):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{DATA}/documents.parquet'")
