@@ -8,7 +8,7 @@ from .common import WORD, WORD_SPACE, materialised, prefix_sums, spread_join
 
 WEIGHTS, SHARE, MOST, BLOCK = (5.0, 2.0, 1.0), 1.5, 2.0, 4096
 #: Slots are points of the golden-ratio sequence in units of 1 / SPAN: slot i lies at i * STEP mod SPAN. STEP is odd and
-#: next to SPAN / golden ratio, so any run of slots is spread evenly and no point comes twice within SPAN slots.
+#: next to SPAN / golden ratio, so any run of slots is spread evenly; after SPAN slots the points come round again.
 SPAN, STEP = 1 << 31, 1327217885
 #: Documents of a source are put in order within the buckets of so many hexadecimal digits of their hash.
 BUCKET_DIGITS = 3
@@ -56,9 +56,7 @@ def schedule(plan: DataFrame, block: int = BLOCK) -> DataFrame:
     """
     plan = plan.withColumn("slots", F.ceil(F.col("target") / block))
     n = plan.agg(F.sum("slots")).first()[0] or 0
-    if n >= SPAN:
-        raise ValueError("more slots than the sequence has points; use longer blocks")
-    slots = plan.sparkSession.range(n).select(F.col("id").alias("slot"), ((F.col("id") * F.lit(STEP)) % F.lit(SPAN)).alias("point"))
+    slots = plan.sparkSession.range(n).select(F.col("id").alias("slot"), (((F.col("id") % F.lit(SPAN)) * F.lit(STEP)) % F.lit(SPAN)).alias("point"))
     slots = slots.withColumn("cell", F.floor(F.col("point") / F.lit(SPAN // 4096)))
     cells = F.sequence(F.floor(F.col("low") * 4096), F.least(F.lit(4095).cast("long"), F.floor(F.col("high") * 4096)))
     cells = plan.where("slots > 0").select("nth", "slots", (F.col("low") * SPAN).alias("from"), (F.col("high") * SPAN).alias("to"), F.explode(cells).alias("cell"))
@@ -77,13 +75,14 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, *, weights=WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK, seed: int = 7) -> DataFrame:
-    """One row for each row of `docs`: doc_id, copy, size, source_size, target, taken, full, part.
+    """One row for each row of `docs`: doc_id, copy, size, source_size, target, taken, full, part, first_slot, last_slot, slots.
 
     Each source's documents stand in a shuffled order that depends on nothing but seed and doc_id. The words of that
     order, pass after pass, are cut into blocks of `block` words, the last one where the rounded target is reached;
     the source's slot of rank r takes block r. So a source gives its target to the word, goes through its documents
     evenly, and takes none more often than `most`, rounded up. `full` counts whole passes over the document; of its
-    first `part` words there is one pass more.
+    first `part` words there is one pass more. `slots` has the slot in which each pass begins, first_slot and last_slot
+    are the first and the last of the mix that take words of it (null if none does).
 
     A null text has size 0 and taken 0, as have empty texts; null sources are one source, ordered last; repeated rows
     are rows of their own (`copy` tells rows of one doc_id apart); a null doc_id is an id like any other. Very long
@@ -107,31 +106,34 @@ def mix(docs: DataFrame, *, weights=WEIGHTS, share: float = SHARE, most: float =
     met = rows.where("size > 0").withColumn("goal", goal).withColumn("pass", F.explode(passes))
     met = met.withColumn("begin", F.col("start") + F.col("pass") * F.col("source_size")).withColumn("end", F.least(F.col("begin") + F.col("size"), F.col("goal"))).where("begin < end")
     met = met.withColumn("block", F.explode(F.sequence(F.floor(F.col("begin") / block), F.floor((F.col("end") - 1) / block))))
-    slots = schedule(plan, block).select(F.col("nth").alias("s_nth"), F.col("rank"))
+    slots = schedule(plan, block).select(F.col("nth").alias("s_nth"), "rank", "slot")
     met = met.join(slots, (F.col("nth") == F.col("s_nth")) & (F.col("block") == F.col("rank")))
     words = F.least("end", (F.col("block") + 1) * block) - F.greatest("begin", F.col("block") * block)
-    met = met.select("doc_id", "copy", "size", words.alias("words"))
-    sums = met.groupBy("doc_id", "copy").agg(F.sum("words").alias("t_taken")).select(F.col("doc_id").alias("t_id"), F.col("copy").alias("t_copy"), "t_taken")
+    begins = F.when(F.floor(F.col("begin") / block) == F.col("block"), F.struct("pass", "slot"))
+    met = met.select("doc_id", "copy", words.alias("words"), "slot", begins.alias("begins"))
+    own = [F.sum("words").alias("t_taken"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"), F.transform(F.array_sort(F.collect_list("begins")), lambda b: b["slot"]).alias("slots")]
+    sums = met.groupBy("doc_id", "copy").agg(*own).select(F.col("doc_id").alias("t_id"), F.col("copy").alias("t_copy"), "t_taken", "first_slot", "last_slot", "slots")
     out = rows.join(sums, F.col("doc_id").eqNullSafe(F.col("t_id")) & (F.col("copy") == F.col("t_copy")), "left")
     taken = F.coalesce("t_taken", F.lit(0)).cast("long")
     size = F.greatest("size", F.lit(1))
-    return out.select("doc_id", "copy", "size", "source_size", "target", taken.alias("taken"), F.floor(taken / size).alias("full"), (taken % size).alias("part"))
+    return out.select("doc_id", "copy", "size", "source_size", "target", taken.alias("taken"), F.floor(taken / size).alias("full"), (taken % size).alias("part"), "first_slot", "last_slot", "slots")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the columns of `docs`, a row for each pass over a document; n_chars, if there, follows the text.
 
-    The one document of a source at which its target is reached gives its first `part` words, with the white space
-    between them. Documents that the mix takes no word of, empty ones among them, are gone.
+    Rows are in the order of the schedule: sorted by the slot in which the pass begins, and within a slot as the source's
+    shuffled order has them by no more than doc_id. The one document of a source at which its target is reached gives its
+    first `part` words, with the white space between them. Documents that the mix takes no word of, empty ones among
+    them, are gone.
     """
-    plan = mix(docs, **options).where("taken > 0").select(F.col("doc_id").alias("__id"), F.col("copy").alias("__copy"), F.col("full").alias("__full"), F.col("part").alias("__part"))
+    plan = mix(docs, **options).where("taken > 0").select(*[F.col(c).alias(f"__{c}") for c in ("doc_id", "copy", "full", "part", "slots")])
     rows = numbered(docs.withColumnRenamed("copy", "__own_copy")).withColumnRenamed("copy", "__nth")
-    rows = rows.join(plan, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__nth") == F.col("__copy")))
-    whole = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.when(i <= F.col("__full"), F.col("text")))
+    rows = rows.join(plan, F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.col("__nth") == F.col("__copy")))
+    rows = rows.select("*", F.posexplode("__slots").alias("__pass", "__slot"))
     pieces = F.split("text", r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
     lead = F.when(F.col("text").rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)
     part = F.rtrim(F.array_join(F.slice(pieces, F.lit(1), (F.col("__part") + lead).cast("int")), ""), F.lit(WORD_SPACE))
-    texts = F.filter(F.concat(whole, F.array(F.when(F.col("__part") > 0, part))), lambda t: t.isNotNull())
-    rows = rows.withColumn("__text", F.explode(texts)).withColumnRenamed("__own_copy", "copy")
+    rows = rows.withColumn("__text", F.when(F.col("__pass") < F.col("__full"), F.col("text")).otherwise(part)).withColumnRenamed("__own_copy", "copy")
     columns = [F.col("__text").alias("text") if c == "text" else F.length("__text").cast(t).alias(c) if c == "n_chars" else F.col(c) for c, t in docs.dtypes]
-    return rows.select(*columns)
+    return rows.orderBy("__slot", "doc_id").select(*columns)

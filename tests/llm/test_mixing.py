@@ -70,6 +70,54 @@ def test_schedule_is_spread_evenly(spark):
         assert abs(sum(s["nth"] == 1 for s in slots[:upto]) - share * upto) < 8
 
 
+def slow_schedule(plan, block):
+    """{(nth, rank): slot} by walking through the golden-ratio points one by one."""
+    rows = sorted((r["nth"], r["low"], r["high"], -int(-r["target"] // block)) for r in plan)
+    n, found, slots = sum(r[3] for r in rows), {r[0]: 0 for r in rows}, {}
+    for i in range(n):
+        point = i * M.STEP % M.SPAN
+        for nth, low, high, most in rows:
+            if low * M.SPAN <= point < high * M.SPAN:
+                if found[nth] < most:
+                    slots[nth, found[nth]] = i
+                found[nth] += 1
+    left = sorted((rank, nth) for nth, _, _, most in rows for rank in range(found[nth], most))
+    return slots | {(nth, rank): n + i for i, (rank, nth) in enumerate(left)}
+
+
+def test_slots_equal_brute_force_and_reach_the_result(spark, monkeypatch):
+    sizes = spark.createDataFrame([("a", 900, 1), ("b", 777, 1), (None, 50, 1), ("d", 3, 1)], "source string, source_size long, n_docs long")
+    plan = M.targets(sizes).cache()
+    assert {(r["nth"], r["rank"]): r["slot"] for r in M.schedule(plan, 16).collect()} == slow_schedule(plan.collect(), 16)
+    docs = frame(spark, _rows())
+    before = {r["doc_id"]: r for r in M.mix(docs, block=16).collect()}
+    assert all(r["slots"] == sorted(r["slots"]) and r["first_slot"] == r["slots"][0] <= r["last_slot"] for r in before.values() if r["taken"])
+    assert all(r["slots"] is None and r["first_slot"] is None for r in before.values() if not r["taken"])
+    order = [r["doc_id"] for r in M.mixed_documents(docs, block=16).collect()]
+    passes, seen = {}, []
+    for d in order:
+        passes[d] = passes.get(d, -1) + 1
+        seen.append(before[d]["slots"][passes[d]])
+    assert seen == sorted(seen) and len(seen) == sum(len(r["slots"]) for r in before.values() if r["taken"])
+    monkeypatch.setattr(M, "STEP", 1)  # another schedule: the same words, in other slots
+    after = {r["doc_id"]: r for r in M.mix(docs, block=16).collect()}
+    assert {d: r["taken"] for d, r in after.items()} == {d: r["taken"] for d, r in before.items()} and {d: r["first_slot"] for d, r in after.items()} != {d: r["first_slot"] for d, r in before.items()}
+
+
+def test_points_come_round_again(spark, monkeypatch):
+    monkeypatch.setattr(M, "SPAN", 1 << 12)
+    monkeypatch.setattr(M, "STEP", 2531)
+    sizes = spark.createDataFrame([("a", 60_000, 1), ("b", 60_000, 1)], "source string, source_size long, n_docs long")
+    plan = M.targets(sizes).cache()
+    assert {(r["nth"], r["rank"]): r["slot"] for r in M.schedule(plan, 16).collect()} == slow_schedule(plan.collect(), 16)
+
+
+def test_a_document_taken_very_often(spark):
+    """More passes than any fixed number; each is a row."""
+    out = M.mixed_documents(frame(spark, [(1, "a b c", "en", "s"), (2, "w " * 5000, "en", "t")]), most=100.0, share=90.0, weights=(1.0, 1.0))
+    assert out.where("doc_id = 1").count() == 100
+
+
 def test_edge_cases(spark):
     assert M.mix(frame(spark, [])).count() == 0
     rows = M.mix(frame(spark, [(1, None, "en", "a"), (2, "", "en", "a"), (3, " \t", "en", None)])).collect()
@@ -90,5 +138,5 @@ def test_mixed_documents(spark):
 
 def test_query(spark):
     got = op4_mixing(spark, DATA)
-    assert got.columns == ["doc_id", "size", "source_size", "target", "taken"]
+    assert got.columns == ["doc_id", "size", "source_size", "target", "taken", "first_slot", "last_slot"]
     assert {r["doc_id"] for r in got.collect()} == set(texts(spark))
