@@ -14,6 +14,8 @@ SHINGLE, BUDGET, SEED = 4, 4, 42
 FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
 #: Node pairs of the trie with at most LEAF leaves on each side are compared leaf by leaf.
 LEAF, SOME = 64, 1 << 16
+#: Groups of more fingerprints than this are split by a block of their remaining bits, if blocks have this many bits.
+HOT, LEAST_BITS = 1 << 16, 4
 
 
 def fingerprint(text: str | None, width: int = SHINGLE) -> int:
@@ -39,7 +41,7 @@ def _fingerprints(width: int):
         for batch in batches:
             for part in slices(batch, "text"):
                 found = np.array([fingerprint(t, width) for t in part.column(1).to_pylist()], dtype=np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(found.view(np.int64)), part.column(2)], names=["doc_id", "fp", "digest"])
 
     return run
 
@@ -124,61 +126,84 @@ def trie_components(keys: np.ndarray, budget: int, top: int = 64) -> np.ndarray:
     return np.array([forest.find(i) for i in range(len(keys))], dtype=np.int64)
 
 
-def _links(budget: int, tables: int):
-    """Edges (a, b) of fingerprints from rows (bucket, turned), sorted: each leaf to the least one of its component in the bucket."""
-    widths = [64 // tables + (i < 64 % tables) for i in range(tables)]
-    offsets = [sum(widths[:i]) for i in range(tables)]
+def _links(budget: int):
+    """Edges (a, b) of fingerprints from rows (bucket, fp, turned), sorted by bucket: each leaf to the least one of its component in the bucket."""
 
-    def group(bucket: int, keys: np.ndarray):
-        table = bucket % tables
-        roots = trie_components(keys, budget, 64 - widths[table])
+    def group(kept: list) -> tuple[np.ndarray, np.ndarray]:
+        prints, keys = (np.concatenate(c) for c in zip(*kept))
+        order = np.argsort(keys)
+        prints = prints[order]
+        roots = trie_components(keys[order], budget)
         linked = np.flatnonzero(roots != np.arange(len(keys)))
-        turn = np.uint64(offsets[table])
-        back = lambda k: (k >> turn) | (k << np.uint64((64 - offsets[table]) % 64)) if offsets[table] else k
-        return back(keys[linked]).view(np.int64), back(keys[roots[linked]]).view(np.int64)
+        return prints[linked], prints[roots[linked]]
+
+    def batch_of(pairs: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*pairs)], names=["a", "b"])
 
     def run(batches):
         last, kept = None, []
         for batch in batches:
-            buckets, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+            buckets, prints, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy().view(np.uint64)
             edges = np.flatnonzero(np.diff(buckets)) + 1
             out = []
             for low, high in zip([0, *edges.tolist()], [*edges.tolist(), len(buckets)]):
                 if low == high:
                     continue
                 if buckets[low] != last:
-                    if sum(map(len, kept)) > 1:
-                        out.append(group(last, np.sort(np.concatenate(kept))))
+                    if sum(len(k) for _, k in kept) > 1:
+                        out.append(group(kept))
                     last, kept = int(buckets[low]), []
-                kept.append(keys[low:high])
+                kept.append((prints[low:high], keys[low:high]))
             if out:
-                a, b = (np.concatenate(x) for x in zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-        if sum(map(len, kept)) > 1:
-            a, b = group(last, np.sort(np.concatenate(kept)))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                yield batch_of(out)
+        if sum(len(k) for _, k in kept) > 1:
+            yield batch_of([group(kept)])
 
     return run
 
 
-def links(prints: DataFrame, budget: int = BUDGET) -> DataFrame:
+def _turned(rows: DataFrame, tables: int, free: int) -> DataFrame:
+    """Rows (bucket, fp, turned) once for each block of the `free` low bits of turned: these turned round so that the block
+    leads them, and the bucket narrowed to its value. The last block may be longer than the bits that are used of it."""
+    width, low = free // tables, (1 << free) - 1
+    mask = F.lit(low if free < 64 else -1)
+    made = []
+    for i in range(tables):
+        own = F.col("turned").bitwiseAND(mask)
+        offset = i * width
+        turn = own if not offset else F.shiftleft(own, offset).bitwiseOR(F.shiftrightunsigned(own, free - offset)).bitwiseAND(mask)
+        turned = F.col("turned").bitwiseAND(F.lit(~low if free < 64 else 0)).bitwiseOR(turn)
+        value = F.shiftrightunsigned(turn, free - width)
+        made.append(F.struct(F.xxhash64("bucket", F.lit(i), value).alias("bucket"), turned.alias("turned")))
+    return rows.select("fp", F.explode(F.array(*made)).alias("t")).select("t.bucket", "fp", "t.turned")
+
+
+def links(prints: DataFrame, budget: int = BUDGET, hot: int = HOT) -> DataFrame:
     """Edges (a, b) that connect the distinct fingerprints `prints` (fp) exactly as all pairs within the budget would.
 
     Two fingerprints with at most `budget` differing bits agree on one of budget + 1 blocks of bits. For each block the
-    fingerprints are turned so that it leads; the subtrees under its values are independent tries, whose own leading
-    bits use none of the budget. A bucket gives at most one edge a leaf, never its pairs.
+    fingerprints are turned so that it leads; those with one value of it are a group with a trie of its own. In a group of
+    more than `hot` fingerprints the same holds of the bits that are left, so it is split by blocks of these, and so on.
+    A group gives at most one edge a leaf, never its pairs.
     """
-    tables = budget + 1
-    widths = [64 // tables + (i < 64 % tables) for i in range(tables)]
-    turned = []
-    for i in range(tables):
-        offset = sum(widths[:i])
-        turn = F.col("fp") if not offset else F.shiftleft("fp", offset).bitwiseOR(F.shiftrightunsigned("fp", 64 - offset))
-        turned.append(F.struct((F.shiftrightunsigned(turn, 64 - widths[i]) * tables + i).alias("bucket"), turn.alias("turned")))
-    rows = prints.select(F.explode(F.array(*turned)).alias("t")).select("t.bucket", "t.turned")
-    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(parts, "bucket").sortWithinPartitions("bucket")
-    return rows.mapInArrow(_links(budget, tables), "a long, b long")
+    tables, free, out = budget + 1, 64, None
+    spark = prints.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    state = prints.select("fp", F.lit(0).cast("long").alias("bucket"), F.col("fp").alias("turned"))
+    while True:
+        rows = _turned(state, tables, free)
+        free -= free // tables
+        large = None
+        if free // tables >= LEAST_BITS:
+            large = materialised(rows.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("bucket", "n"), "simhash-large")
+            total = large.agg(F.sum("n")).first()[0] or 0
+            large = large if total else None
+        small = rows if large is None else rows.join(large.select("bucket"), "bucket", "left_anti")
+        found = small.select("bucket", "fp", "turned").repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_links(budget), "a long, b long")
+        out = found if out is None else out.unionByName(found)
+        if large is None:
+            return out
+        state = materialised(spread_join(rows, large, "bucket", "n", total, ["fp"]), "simhash-state")
 
 
 def simhash(docs: DataFrame, *, width: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
@@ -192,25 +217,33 @@ def simhash(docs: DataFrame, *, width: int = SHINGLE, budget: int = BUDGET) -> D
     each give their row, all kept or none. A null doc_id never is a component_id unless all of a component are null.
     Long texts are hashed in blocks of shingles. An empty table gives no rows. Other columns aren't read.
     """
-    prints = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(_fingerprints(width), "doc_id long, fp long")
-    prints = materialised(prints, "simhash")
+    out = _grouped(docs, width, budget)
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _grouped(docs: DataFrame, width: int, budget: int) -> DataFrame:
+    """One row for each row of `docs`: doc_id, fp, digest (of the text), root (the component), component_id."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64("text").alias("digest"))
+    prints = materialised(rows.mapInArrow(_fingerprints(width), "doc_id long, fp long, digest long"), "simhash")
     nodes = materialised(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-nodes")
     roots = components(links(nodes.select("fp"), budget))
     nodes = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     first = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    nodes = nodes.join(first, "root").select("fp", "n", "component_id")
-    total = prints.count()
-    out = spread_join(prints, nodes, "fp", "n", total, ["doc_id"])
-    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    nodes = nodes.join(first, "root").select("fp", "n", "root", "component_id")
+    return spread_join(prints, nodes, "fp", "n", prints.count(), ["doc_id"])
 
 
 def one_of_each(docs: DataFrame, *, width: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
     """The rows of `docs`, all columns as they are, that stay: of each component one row with its component_id.
 
-    Rows with a null doc_id can't be named and stay.
+    Of several rows of a component with that doc_id the one whose text, then whose other columns have the least hash
+    stays; rows of other components with the same doc_id stay as well. Rows with a null doc_id can't be named and stay.
     """
-    kept = simhash(docs, width=width, budget=budget).where("kept and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct()
-    named = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("__id")).drop("__id")
-    first = F.row_number().over(W.partitionBy("doc_id").orderBy(F.lit(1)))
-    named = named.withColumn("__nth", first).where("__nth = 1").drop("__nth")
+    found = _grouped(docs, width, budget).where("doc_id is not null and doc_id = component_id")
+    kept = found.groupBy("root").agg(F.min("doc_id").alias("__id"), F.min("digest").alias("__digest")).select("__id", "__digest").distinct()
+    named = docs.where("doc_id is not null").withColumn("__own", F.xxhash64("text"))
+    named = named.join(kept, (F.col("doc_id") == F.col("__id")) & (F.col("__own") == F.col("__digest")), "left_semi")
+    others = [F.col(c) for c, t in docs.dtypes if c != "text" and not t.startswith("map")]
+    first = F.row_number().over(W.partitionBy("doc_id", "__own").orderBy(F.xxhash64(*others)))
+    named = named.withColumn("__nth", first).where("__nth = 1").drop("__nth", "__own")
     return named.unionByName(docs.where("doc_id is null"))

@@ -58,7 +58,9 @@ def test_large_ball_costs_no_pairs():
     assert set(trie_components(keys, 4, 51).tolist()) == {0}
 
 
-def test_links_connect_what_all_pairs_would(spark):
+@pytest.mark.parametrize("hot", [1 << 16, 40, 5])
+def test_links_connect_what_all_pairs_would(spark, hot):
+    """Also where groups are split by blocks of their remaining bits."""
     draw = random.Random(5)
     keys = set()
     for _ in range(60):
@@ -67,9 +69,10 @@ def test_links_connect_what_all_pairs_would(spark):
             keys.add(k)
             for _ in range(draw.randrange(1, 6)):
                 k ^= 1 << draw.randrange(64)
+    keys |= {(0xABC << 52) | draw.getrandbits(8) for _ in range(100)}  # one group of the first block
     keys = sorted(keys)
     signed = [k - (1 << 64) if k >> 63 else k for k in keys]
-    roots = {r["node"]: r["root"] for r in components(links(spark.createDataFrame([(k,) for k in signed], "fp long"))).collect()}
+    roots = {r["node"]: r["root"] for r in components(links(spark.createDataFrame([(k,) for k in signed], "fp long"), hot=hot)).collect()}
     expected = slow_components(list(range(len(keys))), keys)
     groups = {}
     for i, k in enumerate(signed):
@@ -77,6 +80,13 @@ def test_links_connect_what_all_pairs_would(spark):
     assert all(len(g) == 1 for g in groups.values()) and len(groups) == len(set(expected.values()))
 
 
+def test_one_row_of_each_group_stays(spark):
+    """Two documents of one id that aren't alike both stay; of repeated rows one does."""
+    rows = [(1, "a b c d e f g h"), (2, "a b c d e f g h"), (1, "quite another text with other words in it"), (5, "unlike all of these but alone in it"), (5, "unlike all of these but alone in it"), (None, "a b c d e f g h")]
+    got = sorted(((r["doc_id"], r["text"]) for r in one_of_each(frame(spark, rows)).collect()), key=str)
+    assert got == sorted([rows[0], rows[2], rows[3], rows[5]], key=str)
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 300)] + [(5000, 5000), (7, 3), (None, 4), (6000, 6001), (6001, 6000)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
