@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -11,20 +12,17 @@ from pyspark.sql import DataFrame, functions as F
 from .common import slices
 
 DIMENSIONS, GRAM = 1024, 3
-#: Labelled documents of each language that a model is fitted on, about; languages that a model may know.
-FIT_ROWS, FIT_LANGUAGES = 2000, 500
+#: Labelled documents of each language that a model is fitted on, about.
+FIT_ROWS = 2000
 UNKNOWN = "und"
-#: Code points below TABLE have their class in an array; letters above it are looked up one by one.
+#: Code points below TABLE have their class in an array from the start, the others in one that is made when a text has any.
 TABLE = 0x3000
 
 
-def _classes() -> np.ndarray:
-    """For code points below TABLE: the code point of the lower-case letter, or 0 for what isn't a letter."""
-    out = np.zeros(TABLE, dtype=np.int64)
-    for c in range(TABLE):
-        if chr(c).isalpha():
-            out[c] = ord(chr(c).lower()[0])
-    return out
+@lru_cache(maxsize=2)
+def _classes(n: int) -> np.ndarray:
+    """For code points below n: the code point of the lower-case letter, or 0 for what isn't a letter."""
+    return np.array([ord(x.lower()[0]) if (x := chr(c)).isalpha() else 0 for c in range(n)], dtype=np.int32)
 
 
 class Encoder:
@@ -35,7 +33,7 @@ class Encoder:
     """
 
     def __init__(self, dimensions: int = DIMENSIONS, gram: int = GRAM):
-        self.dimensions, self.gram, self.classes, self.vectors = dimensions, gram, _classes(), {}
+        self.dimensions, self.gram, self.vectors = dimensions, gram, {}
 
     def letter(self, code: int) -> np.ndarray:
         if code not in self.vectors:
@@ -47,11 +45,7 @@ class Encoder:
 
     def codes(self, text: str) -> np.ndarray:
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
-        found = self.classes[np.minimum(points, TABLE - 1)]
-        for i in np.flatnonzero(points >= TABLE):
-            c = chr(points[i])
-            found[i] = ord(c.lower()[0]) if c.isalpha() else 0
-        return found
+        return _classes(TABLE if points.max(initial=0) < TABLE else 0x110000)[points].astype(np.int64)
 
     def grams(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """The distinct grams, each as one number of 21 bits a letter, and how often they occur."""
@@ -110,22 +104,20 @@ def fit(labelled: DataFrame, *, dimensions: int = DIMENSIONS, rows: int = FIT_RO
     """The languages of `labelled` (doc_id, text, lang), by code point, and their prototypes: the bundled documents, of length 1, centred.
 
     It is fitted on a bounded sample: of each language the documents whose hashed id falls under `rows` / (documents
-    of the language), so all of a rare one; the most frequent FIT_LANGUAGES languages at most. Rows without text,
-    letters or lang teach nothing. The mean of the prototypes, what all languages share, is taken off each.
+    of the language), so all of a rare one; every language counts, however many there are (the driver gets one vector
+    for each). Rows without text, letters or lang teach nothing. The mean of the prototypes, what all languages share, is
+    taken off each.
     """
-    counts = labelled.where("lang is not null and text is not null").groupBy("lang").agg(F.count("*").alias("n"))
-    known = {r["lang"]: r["n"] for r in counts.orderBy(F.desc("n"), "lang").limit(FIT_LANGUAGES).collect()}
-    if not known:
-        return [], np.zeros((0, dimensions), np.float32)
-    rates = F.create_map(*[F.lit(x) for lang, n in known.items() for x in (lang, min(1.0, rows / n))])
+    labelled = labelled.where("lang is not null and text is not null")
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).select(F.col("lang").alias("__lang"), F.least(F.lit(1.0), F.lit(float(rows)) / F.col("n")).alias("rate"))
     chance = F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    sample = labelled.where("lang is not null and text is not null").where(chance < rates[F.col("lang")]).select("text", "lang")
+    sample = labelled.join(counts, F.col("lang") == F.col("__lang")).where(chance < F.col("rate")).select("text", "lang")
     parts = sample.mapInArrow(_sums(dimensions), "lang string, v array<double>")
     # sums of each component, so that the driver gets one vector a language
     sums = parts.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
-    vectors = {lang: np.zeros(dimensions) for lang in known}
+    vectors = {}
     for r in sums.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v")).collect():
-        vectors[r["lang"]] = np.array([e["x"] for e in r["v"]])
+        vectors[r["lang"]] = np.array([e["x"] for e in r["v"]])  # all components are there
     langs = sorted(lang for lang, v in vectors.items() if np.linalg.norm(v) > 0)
     if not langs:
         return [], np.zeros((0, dimensions), np.float32)
