@@ -18,7 +18,7 @@ PHONE = DIGITS | frozenset(" ().-")
 WORDY = LETTERS | DIGITS | {"_"}
 #: Kinds in the order in which spans are listed; the first four are the base.
 BASE = ("email", "ip", "card", "phone")
-ADDED = ("url_login", "iban", "ssn", "account", "address")
+ADDED = ("url_login", "iban", "ssn", "account", "address", "secret")
 #: The length of an IBAN by its country.
 IBAN_LENGTHS = {
     "AT": 20, "BE": 16, "BG": 22, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27, "HR": 21, "HU": 28,
@@ -26,6 +26,9 @@ IBAN_LENGTHS = {
 }
 #: Cues of account numbers and of postal addresses, in lower case.
 ACCOUNT_CUES = ("account number", "account no", "account #", "acct no", "acct #", "kontonummer", "numéro de compte", "número de cuenta", "passport number", "passport no", "routing number")
+#: Cues of secrets, in lower case: a value of 16 or more characters of SECRET, a digit among them, follows a sign of assignment.
+SECRET_CUES = ("token", "secret", "passwd", "password", "api_key", "api key", "apikey", "access_key", "private_key", "auth_key")
+SECRET, SECRET_CHARS = LETTERS | DIGITS | frozenset("_-./+="), 16
 STREETS = ("street", "avenue", "boulevard", "road", "lane", "drive", "straße", "strasse")
 
 
@@ -37,6 +40,8 @@ def _automaton() -> ahocorasick.Automaton:
         found.add_word(cue, (kind, len(cue)))
     for cue in ACCOUNT_CUES:
         found.add_word(cue, ("account", len(cue)))
+    for cue in SECRET_CUES:
+        found.add_word(cue, ("secret", len(cue)))
     for cue in STREETS:
         found.add_word(cue, ("street", len(cue)))
     found.make_automaton()
@@ -195,14 +200,31 @@ def find(text: str | None, automaton: ahocorasick.Automaton) -> dict[str, list[t
             if start >= done["account"] and 6 <= sum(c in DIGITS for c in text[start:end]) <= 20:
                 spans["account"].append((start, end))
                 done["account"] = end
+        elif kind == "secret":
+            if got := _secret(text, at + width, done["secret"]):
+                spans["secret"].append(got)
+                done["secret"] = got[1]
         elif kind == "street":
             if got := _address(text, at, at + width, done["address"]):
                 spans["address"].append(got)
                 done["address"] = got[1]
-    spans["ssn"] = [s for s in spans["ssn"]]
     return spans
 
 
+def _secret(text: str, at: int, least: int) -> tuple[int, int] | None:
+    """The value that is assigned to the name which ends with the cue before `at`."""
+    at = _run(text, at, WORDY | {"-"})  # token_2, SECRET-KEY
+    at = _run(text, at, frozenset("\"' "))
+    if at >= len(text) or text[at] not in ":=":
+        return None
+    start = _run(text, _run(text, at, frozenset(":=>")), frozenset("\"' "))
+    end = _run(text, start, SECRET)
+    while end > start and text[end - 1] in "./=":  # the end of a sentence isn't part of it
+        end -= 1
+    good = start >= least and end - start >= SECRET_CHARS and any(c in DIGITS for c in text[start:end])
+    return (start, end) if good else None
+
+
 def _address(text: str, at: int, end: int, least: int) -> tuple[int, int] | None:
     """A house number and one to three capitalised words before a street's kind, in one line."""
     if end < len(text) and text[end] in WORDY:
@@ -261,8 +283,8 @@ def personal_data(docs: DataFrame, *, redacted: bool = True) -> DataFrame:
     """One row for each row of `docs`: doc_id, counts of the base kinds, base_sha256, spans, redacted (the text, spans replaced).
 
     Spans are kind:start:end in code points, end exclusive, by kind and start. Base kinds are email, ip, card and phone;
-    added are logins in URLs, IBANs, social security numbers, account numbers after a cue, and street addresses; they
-    may overlap base spans. A null text counts as empty: no spans (its redacted text is null). Repeated rows give equal
+    added are logins in URLs, IBANs, social security numbers, account numbers after a cue, street addresses, and secrets
+    that are assigned to a name like token or password; they may overlap base spans. A null text counts as empty: no spans (its redacted text is null). Repeated rows give equal
     rows; ties can't arise. Long texts are passed over once, from cue to cue. An empty table gives no rows. Other columns aren't read.
     """
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(_find(redacted), SCHEMA)
