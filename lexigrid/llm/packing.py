@@ -64,7 +64,8 @@ def token_ids(text: str | None, path: str, ranks: str | None = None) -> np.ndarr
 
 
 class Packer:
-    """Packs pieces of one partition; a piece is (length, serial, document, start), document being [doc_id, ids or None].
+    """Packs pieces of one partition; a piece is (length, serial, document, start), document being (doc_id, ids, number of
+    its first id, ids of the whole document): in the pool a piece holds its own ids only, whatever its document holds.
 
     Full windows of a long document are sequences at once. Its rest, or a short document, is routed by its length to
     the tier of the next power of two (SMALLEST to WINDOW). Longest first, a piece opens a window of its tier; the gap
@@ -77,7 +78,7 @@ class Packer:
         self.steps: dict[int, int] = {}
 
     def add(self, doc_id, ids: np.ndarray) -> None:
-        document, n, start = (doc_id, ids, len(ids)), len(ids), 0
+        document, n, start = (doc_id, ids, 0, len(ids)), len(ids), 0
         while n - start >= self.window:
             self.emit([(self.window, document, start)], self.window)
             start += self.window
@@ -88,6 +89,9 @@ class Packer:
 
     def put(self, length: int, document, start: int) -> None:
         self.serial += 1
+        doc_id, ids, first, total = document
+        if len(ids) > 2 * length:
+            document = (doc_id, ids[start - first : start - first + length].copy(), start, total)
         insort(self.pool, (length, self.serial, document, start), key=lambda p: p[:2])
 
     def fitting(self, gap: int) -> int:
@@ -140,8 +144,8 @@ class Packer:
         nth = self.steps.get(tier, 0)
         self.steps[tier] = nth + 1
         step = self.base | (tier.bit_length() << 32) | (nth * tier // STEP)
-        for length, (doc_id, ids, total), start in members:
-            crc = zlib.crc32(ids[start : start + length].tobytes())
+        for length, (doc_id, ids, first, total), start in members:
+            crc = zlib.crc32(ids[start - first : start - first + length].tobytes())
             self.rows.append((doc_id, start, length, crc, total, sequence, offset, tier, step))
             offset += length
 
