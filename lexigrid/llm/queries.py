@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import exact_dedup, langid, license_scan, line_dedup, mixing, packing, pii, quality, simhash, suffix_dedup
-from .common import table
+from .common import materialised, table
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -21,13 +21,18 @@ def op3_simhash(spark, sf_dir):
 
 
 def op4_mixing(spark, sf_dir):
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "first_slot", "last_slot")
 
 
 def op5_quality(spark, sf_dir):
     return quality.verdicts(quality.ledger(table(spark, sf_dir, "documents")))
 
 
+def quality_ablations(spark, sf_dir):
+    """What each rule of the current policy does alone, from the ledger as it is stored."""
+    return quality.ablations(materialised(quality.ledger(table(spark, sf_dir, "documents")), "quality-ledger"))
+
+
 def op6_language_id(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -55,10 +60,10 @@ def pipeline(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_exact_dedup, op2_license_scans, op3_simhash, op4_mixing, op5_quality, op6_language_id, op7_suffix_dedup, op8_packing, op9_line_dedup, op10_pii, pipeline,
+    op1_exact_dedup, op2_license_scans, op3_simhash, op4_mixing, op5_quality, op6_language_id, op7_suffix_dedup, op8_packing, op9_line_dedup, op10_pii, pipeline, quality_ablations,
 )}
 
-# Sums, targets and positions in closed form, without blocks and slots.
+# Sums, targets and positions in closed form; the slots of the schedule, and of each document the first and the last.
 OP4 = rf"""
 with sized as (select doc_id, source, len({WORDS})::bigint as size, row_number() over (partition by doc_id order by source) as copy from documents),
 s as (select source, sum(size)::bigint as source_size from sized group by source),
@@ -66,13 +71,20 @@ w as (select *, row_number() over (order by source is null, source) - 1 as nth f
 t as (select *, [5.0, 2.0, 1.0][nth % 3 + 1]::double as weight, source_size * 2.0::double as cap, sum(source_size) over () * 1.5::double as budget from w),
 r as (select *, (budget - coalesce(sum(cap) over (order by cap / weight, nth rows between unbounded preceding and 1 preceding), 0)) / sum(weight) over (order by cap / weight, nth rows between current row and unbounded following) as rate from t),
 k as (select arg_min(rate, (cap / weight, nth)) as rate from r where rate * weight <= cap),
-plan as (select source, source_size, case when k.rate is null then cap else least(cap, k.rate * weight) end as target from r, k),
-placed as (select doc_id, size, source_size, target, round(target)::bigint as goal,
+plan as (select source, nth, source_size, case when k.rate is null then cap else least(cap, k.rate * weight) end as target from r, k),
+cuts as (select *, ceil(target / {mixing.BLOCK})::bigint as slots, sum(target) over (order by nth) as upto, sum(target) over () as everything from plan),
+points as (select i as slot, ((i % {mixing.SPAN}) * {mixing.STEP}) % {mixing.SPAN} as point from (select unnest(range((select sum(slots)::bigint from cuts))) as i)),
+hits as (select nth, slots, slot, row_number() over (partition by nth order by slot) - 1 as rank from points join cuts on point >= (upto - target) / everything * {mixing.SPAN} and point < upto / everything * {mixing.SPAN}),
+short as (select cuts.nth, slots, (select count(*) from hits where hits.nth = cuts.nth) as got from cuts),
+late as (select nth, unnest(range(got, slots)) as rank from short where got < slots),
+schedule as (select nth, rank, slot from hits where rank < slots union all select nth, rank, (select sum(slots)::bigint from cuts) + row_number() over (order by rank, nth) - 1 from late),
+placed as (select doc_id, size, nth, source_size, target, round(target)::bigint as goal,
     (sum(size) over (partition by sized.source order by md5('7:' || doc_id || ':' || copy)))::bigint - size as start
-    from sized join plan on sized.source is not distinct from plan.source)
-select doc_id, size, source_size, target,
-    (greatest(0, least(start + size, goal) - start) + greatest(0, least(start + source_size + size, goal) - start - source_size))::bigint as taken
-from placed"""
+    from sized join plan on sized.source is not distinct from plan.source),
+mixed as (select *, greatest(0, least(start + size, goal) - start)::bigint as one, greatest(0, least(start + source_size + size, goal) - start - source_size)::bigint as two from placed)
+select doc_id, size, source_size, target, one + two as taken, a.slot as first_slot, z.slot as last_slot from mixed
+left join schedule a on a.nth = mixed.nth and one > 0 and a.rank = start // {mixing.BLOCK}
+left join schedule z on z.nth = mixed.nth and one > 0 and z.rank = (case when two > 0 then start + source_size + two - 1 else start + one - 1 end) // {mixing.BLOCK}"""
 
 OP5 = rf"""
 with d as (select doc_id, coalesce(text, '') as t, {WORDS} as w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from documents),
@@ -90,6 +102,18 @@ f as (select *, ((n_words < 50)::int + 2 * (100 * n_repeat_words > 50 * n_words)
     + 256 * (10 * most > 3 * n_words)::int + 512 * (10 * len(list_filter(lines, lambda x: regexp_matches(x, '^\s*[-*•‣▪]'))) > 9 * len(lines))::int + 1024 * (n_words > 1000000)::int end)::bigint as failed from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed, (failed & 3) <> 0 as base_failed, (failed & 47) = 0 and bit_count(failed & {quality.Policy.mask(quality.POLICIES[quality.CURRENT].soft)}) <= 1 as kept, 2 as policy from f"""
 
+_POLICY = quality.POLICIES[quality.CURRENT]
+
+
+def _keeps(without: str | None = None) -> str:
+    hard, soft = (quality.Policy.mask(tuple(r for r in rules if r != without)) for rules in (_POLICY.rules, _POLICY.soft))
+    return f"((failed & {hard}) = 0 and bit_count(failed & {soft}) <= {_POLICY.tolerated})"
+
+
+ABLATIONS = f"with ledger as ({OP5}) " + " union all ".join(
+    f"select '{r}' as rule, coalesce(sum((failed >> {quality.RULES[r]}) & 1), 0)::bigint as fails, count(*) filter ({_keeps(r)} and not {_keeps()}) as alone, coalesce(sum(n_words) filter ({_keeps(r)} and not {_keeps()}), 0)::bigint as words_alone from ledger"
+    for r in (*_POLICY.rules, *_POLICY.soft))
+
 # All windows of 50 bytes, as hexadecimal strings.
 OP7 = """
 with b as (select doc_id, hex(encode(coalesce(text, ''))) as h, octet_length(encode(coalesce(text, '')))::bigint as n from documents),
@@ -126,6 +150,7 @@ SQL = {
         window same as (partition by text_sha256)""",
     "op4_mixing": OP4,
     "op5_quality": OP5,
+    "quality_ablations": ABLATIONS,
     "op7_suffix_dedup": OP7,
     "op9_line_dedup": OP9,
 }
