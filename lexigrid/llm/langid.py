@@ -111,7 +111,8 @@ def fit(labelled: DataFrame, *, dimensions: int = DIMENSIONS, rows: int = FIT_RO
     labelled = labelled.where("lang is not null and text is not null")
     counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).select(F.col("lang").alias("__lang"), F.least(F.lit(1.0), F.lit(float(rows)) / F.col("n")).alias("rate"))
     chance = F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    sample = labelled.join(counts, F.col("lang") == F.col("__lang")).where(chance < F.col("rate")).select("text", "lang")
+    # a row for each language, of which the driver holds a whole vector anyway; texts must not be shuffled by language
+    sample = labelled.join(F.broadcast(counts), F.col("lang") == F.col("__lang")).where(chance < F.col("rate")).select("text", "lang")
     parts = sample.mapInArrow(_sums(dimensions), "lang string, v array<double>")
     # sums of each component, so that the driver gets one vector a language
     sums = parts.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
