@@ -35,6 +35,12 @@ def test_templates_and_their_variations_are_found():
         assert slow(s) is None, s
 
 
+def test_identifiers_name_their_own_family():
+    for name, family in {"MIT": "MIT", "Apache-2.0": "Apache-2.0", "BSD-3-Clause": "BSD", "GPL-2.0-only": "GPL", "GPL-3.0-or-later": "GPL", "LGPL-2.1-or-later": "LGPL", "MPL-2.0": "MPL-2.0", "CC-BY-SA-4.0": "CC-BY-SA", "CC0-1.0": "public-domain"}.items():
+        assert slow(f"// SPDX-License-Identifier: {name}") == family
+    assert slow("SPDX-License-Identifier: Zlib") is None
+
+
 def test_queries_rows_equal_brute_force(spark):
     sf = "/root/testdata/sf0.01"
     got = {r["doc_id"]: r["matches"] for r in op2_license_scans(spark, sf).collect()}
