@@ -8,10 +8,9 @@ import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .common import components, materialised, slices, spread_join
+from .shingle_join import FOLD, similar_edges
 
 SHINGLE, BUDGET, SEED = 4, 4, 42
-#: A-Z to a-z and the word separators to a space, on UTF-8 bytes.
-FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
 #: Node pairs of the trie with at most LEAF leaves on each side are compared leaf by leaf.
 LEAF, SOME = 64, 1 << 16
 #: Groups of more fingerprints than this are split by a block of their remaining bits, if blocks have this many bits.
@@ -221,25 +220,37 @@ def simhash(docs: DataFrame, *, width: int = SHINGLE, budget: int = BUDGET) -> D
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _grouped(docs: DataFrame, width: int, budget: int) -> DataFrame:
-    """One row for each row of `docs`: doc_id, fp, digest (of the text), root (the component), component_id."""
+def _grouped(docs: DataFrame, width: int, budget: int, similar: bool = False) -> DataFrame:
+    """One row for each row of `docs`: doc_id, fp, digest (of the text), root (the component), component_id.
+
+    With `similar`, texts that share enough shingles (see shingle_join) are linked besides those whose fingerprints are.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64("text").alias("digest"))
     prints = materialised(rows.mapInArrow(_fingerprints(width), "doc_id long, fp long, digest long"), "simhash")
     nodes = materialised(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-nodes")
     roots = components(links(nodes.select("fp"), budget))
     nodes = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
+    if similar:
+        nodes = materialised(nodes, "simhash-roots")
+        labels = materialised(prints.select("digest", "fp").distinct().join(nodes.select("fp", "root"), "fp").select(F.col("digest").alias("node"), "root"), "simhash-labels")
+        more = components(similar_edges(rows.select(F.col("digest").alias("node"), "text"), labels))
+        more = more.select(F.col("node").alias("old"), F.col("root").alias("new"))
+        nodes = nodes.join(more, F.col("root") == F.col("old"), "left").select("fp", "least", "n", F.coalesce("new", "root").alias("root"))
     first = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
     nodes = nodes.join(first, "root").select("fp", "n", "root", "component_id")
     return spread_join(prints, nodes, "fp", "n", prints.count(), ["doc_id"])
 
 
-def one_of_each(docs: DataFrame, *, width: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
+def one_of_each(docs: DataFrame, *, width: int = SHINGLE, budget: int = BUDGET, similar: bool = False) -> DataFrame:
     """The rows of `docs`, all columns as they are, that stay: of each component one row with its component_id.
 
+    With `similar`, links are those of fingerprints and those of texts whose 5-word shingles have a Jaccard similarity of
+    0.8 or more: that is some 10 of 64 bits, too many for a trie to prune by.
+
     Of several rows of a component with that doc_id the one whose text, then whose other columns have the least hash
     stays; rows of other components with the same doc_id stay as well. Rows with a null doc_id can't be named and stay.
     """
-    found = _grouped(docs, width, budget).where("doc_id is not null and doc_id = component_id")
+    found = _grouped(docs, width, budget, similar).where("doc_id is not null and doc_id = component_id")
     kept = found.groupBy("root").agg(F.min("doc_id").alias("__id"), F.min("digest").alias("__digest")).select("__id", "__digest").distinct()
     named = docs.where("doc_id is not null").withColumn("__own", F.xxhash64("text"))
     named = named.join(kept, (F.col("doc_id") == F.col("__id")) & (F.col("__own") == F.col("__digest")), "left_semi")
