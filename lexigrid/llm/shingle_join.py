@@ -84,16 +84,17 @@ def _near_size(a: int, b: int) -> bool:
 
 
 def _groups(batches) -> Iterator[pa.RecordBatch]:
-    """Rows (t, node, n) sorted by t: (null, a, b, null) for the pairs of small groups, (t, node, null, n) for the rows of large ones."""
+    """Rows (t, node, n) sorted by t: (null, a, b, star, n of a, n of b) for the pairs of small groups, star 1 for those of
+    a group's least node, 0 for the rest; (t, node, null, null, n, null) for the rows of large groups."""
     last, kept, large = None, {}, False
     out: list[tuple] = []
 
     def pairs() -> None:
         some = sorted(kept.items())
-        out.extend((None, a, b, None) for i, (a, x) in enumerate(some) for b, y in some[i + 1 :] if _near_size(x, y))
+        out.extend((None, a, b, int(not i), x, y) for i, (a, x) in enumerate(some) for b, y in some[i + 1 :] if _near_size(x, y))
 
     def flush() -> pa.RecordBatch:
-        made = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["t", "a", "b", "n"])
+        made = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["t", "a", "b", "star", "n", "m"])
         out.clear()
         return made
 
@@ -110,11 +111,11 @@ def _groups(batches) -> Iterator[pa.RecordBatch]:
                 pairs()
                 last, kept, large = t, {}, False
             if large:
-                out.append((t, node, None, n))
+                out.append((t, node, None, None, n, None))
             else:
                 kept[node] = n
                 if len(kept) > HOT:
-                    out.extend((t, x, None, m) for x, m in kept.items())
+                    out.extend((t, x, None, None, m, None) for x, m in kept.items())
                     kept, large = {}, True
             if len(out) > 1 << 16:
                 yield flush()
@@ -139,6 +140,20 @@ def _verified(batches) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*keep)], names=["a", "b"])
 
 
+def _possible(met: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs (a, b, star) that can be similar, from rows (a, b, star, n, m) for each small group that a pair met in.
+
+    Two texts share the shingles among the first of both, and of the rest no more than the one that ends first has
+    besides its first ones. Those in small groups are counted; of those in large ones each text's number bounds them.
+    """
+    pairs = met.groupBy("a", "b").agg(F.count("*").alias("c"), F.max("star").alias("star"), F.max("n").alias("n"), F.max("m").alias("m"))
+    large = materialised(members.groupBy("node").agg(F.count("*").alias("k")), "shingle-large")
+    for side in ("a", "b"):
+        pairs = pairs.join(large.select(F.col("node").alias(side), F.col("k").alias(f"k_{side}")), side, "left")
+    most = F.col("c") + F.least(F.coalesce("k_a", F.lit(0)), F.coalesce("k_b", F.lit(0))) + F.ceil(F.greatest("n", "m") * PART / WHOLE) - 1
+    return pairs.where(most * (WHOLE + PART) >= (F.col("n") + F.col("m")) * PART).select("a", "b", "star")
+
+
 def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Edges (a, b) of roots from candidates (a, b, ra, rb), their whole texts compared."""
     needed = materialised(pairs.select(F.explode(F.array("a", "b")).alias("need")).distinct(), "shingle-need")
@@ -184,7 +199,7 @@ def similar_edges(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = materialised(docs.mapInArrow(_prefixes(hot), "t long, node long, n long, hot boolean").where("t is not null"), "shingle-prefixes")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rare = rows.where("not hot").select("t", "node", "n").repartition(parts, "t").sortWithinPartitions("t")
-    rare = materialised(rare.mapInArrow(_groups, "t long, a long, b long, n long"), "shingle-groups")
+    rare = materialised(rare.mapInArrow(_groups, "t long, a long, b long, star long, n long, m long"), "shingle-groups")
     members = rows.where("hot").select("t", "node", "n").unionByName(rare.where("b is null").select("t", F.col("a").alias("node"), "n"))
     members = materialised(members.distinct(), "shingle-members")
 
@@ -193,8 +208,13 @@ def similar_edges(docs: DataFrame, labels: DataFrame) -> DataFrame:
         b = labels.select(F.col("node").alias("b"), F.col("root").alias("rb"))
         return materialised(pairs.distinct().join(a, "a").join(b, "b").where("ra <> rb"), "shingle-pairs")
 
-    known = _confirm(rooted(rare.where("b is not null").select("a", "b")), docs)
-    labels = _relabelled(labels, known)
+    pairs = materialised(_possible(rare.where("b is not null"), members), "shingle-candidates")
+    dropped(rows, rare)
+    known = None
+    for star in (1, 0):  # most pairs of a ball of copies are connected by its stars already
+        edges = _confirm(rooted(pairs.where(F.col("star") == star).select("a", "b")), docs)
+        labels = _relabelled(labels, edges)
+        known = edges if known is None else known.unionByName(edges)
     leaders = LEADERS
     while True:
         now = members.join(labels, "node")
