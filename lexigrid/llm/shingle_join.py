@@ -17,20 +17,80 @@ WIDTH, PART, WHOLE, SEED = 5, 4, 5, 42
 HOT, MOST_HOT = 32, 1 << 20
 #: Texts of a large group that are compared with all others of it in the first round; twice as many in each later one.
 LEADERS = 8
+#: Bytes of text hashed at once, and of a word that is hashed with them.
+BLOCK, LONG = 1 << 18, 1 << 12
 #: A-Z to a-z and the word separators to a space, on UTF-8 bytes.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of uint64 whose every bit depends on all bits of its argument."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _table(n: int, seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).integers(0, 1 << 64, n, dtype=np.uint64)
+
+
+#: A word's hash is the sum of VALUE of each byte times PLACE of its place; separators count zero.
+VALUE, PLACE, TURN = _table(256, SEED), _table(LONG, SEED + 1), _table(64, SEED + 2) | np.uint64(1)
+VALUE[32] = 0
+
+
+def _word_hashes(plain: bytes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places and hashes of the words between spaces, block by block; those of over LONG bytes by XXH64."""
+    at = 0
+    while at < len(plain):
+        end = len(plain) if at + BLOCK >= len(plain) else plain.rfind(b" ", at, at + BLOCK) + 1
+        if not end:  # a word that is longer than a block
+            end = plain.find(b" ", at)
+            end = len(plain) if end < 0 else end
+            yield np.array([at]), np.array([xxhash.xxh64_intdigest(plain[at:end], SEED)], dtype=np.uint64)
+            at = end
+            continue
+        codes = np.frombuffer(plain, dtype=np.uint8, count=end - at, offset=at)
+        inside = np.concatenate([[False], codes != 32, [False]])
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        starts, ends = edges[::2], edges[1::2]
+        if len(starts):
+            place = np.arange(starts[0], len(codes)) - np.repeat(starts, np.diff(starts, append=len(codes)))
+            found = np.add.reduceat(VALUE[codes[starts[0] :]] * PLACE[np.minimum(place, LONG - 1)], starts - starts[0])
+            for i in np.flatnonzero(ends - starts > LONG).tolist():
+                found[i] = xxhash.xxh64_intdigest(plain[at + starts[i] : at + ends[i]], SEED)
+            yield starts + at, found
+        at = end
+
+
+def shingle_sets(texts: list[str | None], width: int = WIDTH) -> list[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its word shingles (fewer words: of the whole sequence, none: no hash)."""
+    folded = [(t or "").encode("utf-8", "surrogatepass").translate(FOLD) for t in texts]
+    found = list(_word_hashes(b" ".join(folded)))
+    if not found:
+        return [np.empty(0, dtype=np.int64)] * len(texts)
+    places, words = (np.concatenate(c) for c in zip(*found))
+    words = _mixed(words)
+    first = np.searchsorted(places, np.cumsum([0, *(len(t) + 1 for t in folded)])).tolist()
+
+    def hashes(words: np.ndarray, size: int) -> np.ndarray:
+        n = len(words) - size + 1
+        sums = np.zeros(max(0, n), dtype=np.uint64)
+        for i in range(size if n > 0 else 0):
+            sums += words[i : i + n] * TURN[i]
+        return _mixed(sums).view(np.int64)
+
+    every, out = hashes(words, width), []
+    for low, high in zip(first, first[1:]):
+        few = high - low < width
+        own = np.sort(hashes(words[low:high], high - low) if few and high > low else every[low : low if few else high - width + 1])
+        out.append(own[np.concatenate([[True], own[1:] != own[:-1]])] if len(own) else own)
+    return out
+
+
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
-    """The sorted distinct XXH64 hashes of a text's word shingles (fewer words: of the whole sequence, none: no hash)."""
-    words = [w for w in (text or "").encode("utf-8", "surrogatepass").translate(FOLD).split(b" ") if w]
-    if not words:
-        return np.empty(0, dtype=np.int64)
-    n = max(1, len(words) - width + 1)
-    ends = np.cumsum([len(w) + 1 for w in words]).tolist()
-    starts, plain, last = [0, *ends], b" ".join(words), min(width, len(words)) - 1
-    found = np.fromiter((xxhash.xxh64_intdigest(plain[starts[i] : ends[i + last] - 1], SEED) for i in range(n)), dtype=np.uint64, count=n)
-    return np.unique(found.view(np.int64))
+    """`shingle_sets` of one text."""
+    return shingle_sets([text], width)[0]
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -43,7 +103,7 @@ def _frequent(batches) -> Iterator[pa.RecordBatch]:
     """(t, c): in how many texts of a few megabytes a shingle is, if in several."""
     for batch in batches:
         for part in slices(batch, "text"):
-            seen = [shingles(t) for t in set(part.column(1).to_pylist())]
+            seen = shingle_sets(list(set(part.column(1).to_pylist())))
             if not seen:
                 continue
             t, c = np.unique(np.concatenate(seen), return_counts=True)
@@ -58,12 +118,12 @@ def _prefixes(hot):
         seen = set()
         for batch in batches:
             for part in slices(batch, "text"):
-                out = []
+                out, new = [], {}
                 for node, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    if node in seen:  # copies give their rows once a task
-                        continue
-                    seen.add(node)
-                    own = shingles(text)
+                    if node not in seen:  # copies give their rows once a task
+                        seen.add(node)
+                        new[node] = text
+                for node, own in zip(new, shingle_sets(list(new.values()))):
                     if not len(own):
                         continue
                     take = len(own) - (len(own) * PART + WHOLE - 1) // WHOLE + 1
@@ -128,12 +188,11 @@ def _verified(batches) -> Iterator[pa.RecordBatch]:
     """(a, b): the roots of pairs of texts that are similar."""
     for batch in batches:
         for part in slices(batch, "x"):
-            sets, keep = {}, []
+            keep = []
             a, b, ra, rb, x, y = (c.to_pylist() for c in part.columns)
+            texts = dict(zip(a, x)) | dict(zip(b, y))
+            sets = dict(zip(texts, shingle_sets(list(texts.values()))))
             for i in range(len(a)):
-                for node, text in ((a[i], x[i]), (b[i], y[i])):
-                    if node not in sets:
-                        sets[node] = shingles(text)
                 if similar(sets[a[i]], sets[b[i]]):
                     keep.append((ra[i], rb[i]))
             if keep:
