@@ -5,7 +5,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline as C
-from lexigrid.llm.shingle_join import HOT, shingles, similar
+from lexigrid.llm import shingle_join
+from lexigrid.llm.shingle_join import HOT, shingle_sets, shingles, similar
 from lexigrid.llm.simhash import fingerprint, one_of_each
 
 from .helpers import DATA, clashing, documents, frame
@@ -66,6 +67,19 @@ def test_sets():
     assert similar(a, a[:8]) and not similar(a, a[:7]) and not similar(a[:0], a[:0])
 
 
+def test_sets_of_many_texts(monkeypatch):
+    monkeypatch.setattr(shingle_join, "BLOCK", 200)  # words and texts cross blocks, and some words are longer than one
+    draw = random.Random(3)
+    parts = ["a", "b", " ", "\n\t ", "Z\xe9", "x" * 60, "y" * 300, "z" * 5000, "q w e"]
+    texts = ["".join(draw.choice(parts) for _ in range(draw.randrange(50))) for _ in range(200)]
+    texts += [t + " b a b" for t in texts] + [None, "", " "]
+    found, slow = shingle_sets(texts), [slow_set(t) for t in texts]
+    for i, text in enumerate(texts):
+        assert len(found[i]) == len(slow[i]) and (found[i] == shingles(text)).all()
+        j = (i + 200) % len(texts)
+        assert len(np.intersect1d(found[i], found[j])) == len(slow[i] & slow[j])
+
+
 def test_kept_equals_all_pairs(spark):
     rows = corpus()
     out = one_of_each(frame(spark, rows), similar=True)
