@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from functools import reduce
@@ -63,6 +64,12 @@ def materialised(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Free what ended jobs hold: Spark deletes their shuffle files and broadcasts when the driver collects its garbage, by itself twice an hour only."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def spread_join(left: DataFrame, right: DataFrame, key: str | list[str], weight: str, total: int, by: list[str], how: str = "inner", parts: int = 1000) -> DataFrame:
     """Join on a key (of one column or several) where a few keys may hold most rows of `left`, without a hot task and with one pass over `left`.
 
@@ -93,6 +100,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = edges.where("a is not null and b is not null and a <> b")
     now = now.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now = materialised(now, "edges")
+    digest = _digest(now)
     while True:  # each round shortens every path, so it ends after about log(nodes) of them
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
@@ -104,10 +112,10 @@ def components(edges: DataFrame) -> DataFrame:
         small = small.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         after = small.select("e.a", "e.b").where("a <> b").distinct()
         after = materialised(after, "edges")
-        same = _digest(after) == _digest(now)
+        before, digest = digest, _digest(after)
         dropped(now)
         now = after
-        if same:
+        if digest == before:
             break
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import WORD, WORD_SPACE, materialised, prefix_sums, spread_join
+from .common import WORD, WORD_SPACE, materialised, prefix_sums, spread_join, tidy
 
 WEIGHTS, SHARE, MOST, BLOCK = (5.0, 2.0, 1.0), 1.5, 2.0, 4096
 #: Slots are points of the golden-ratio sequence in units of 1 / SPAN: slot i lies at i * STEP mod SPAN. STEP is odd and
@@ -69,11 +69,6 @@ def schedule(plan: DataFrame, block: int = BLOCK) -> DataFrame:
     return ranked.unionByName(late)
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """`docs` with copy: which of the rows with this doc_id it is (rows that tie are equal in id, source and text)."""
-    return docs.withColumn("copy", F.row_number().over(W.partitionBy("doc_id").orderBy("source", F.xxhash64("text"))))
-
-
 def mix(docs: DataFrame, *, weights=WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK, seed: int = 7) -> DataFrame:
     """One row for each row of `docs`: doc_id, copy, size, source_size, target, taken, full, part, first_slot, last_slot, slots.
 
@@ -88,6 +83,16 @@ def mix(docs: DataFrame, *, weights=WEIGHTS, share: float = SHARE, most: float =
     are rows of their own (`copy` tells rows of one doc_id apart); a null doc_id is an id like any other. Very long
     texts span several blocks. An empty table gives no rows. Other columns aren't read.
     """
+    return _planned(docs, weights, share, most, block, seed).drop("place")
+
+
+def _place(digest: Column) -> Column:
+    """A number that rows share if id, source and text are the same; others that happen to share it do no harm."""
+    return F.xxhash64("doc_id", "source", digest)
+
+
+def _planned(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK, seed: int = 7) -> DataFrame:
+    """The rows of mix() with their place; those of a place are in one order by (doc_id, copy) and by (doc_id, source, digest of the text)."""
     rows = docs.select("doc_id", "source", F.xxhash64("text").alias("digest"), word_count(F.col("text")).alias("size"))
     rows = rows.withColumn("copy", F.row_number().over(W.partitionBy("doc_id").orderBy("source", "digest")))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
@@ -95,7 +100,7 @@ def mix(docs: DataFrame, *, weights=WEIGHTS, share: float = SHARE, most: float =
     plan = targets(sizes, weights, share, most)
     total = sizes.agg(F.sum("n_docs")).first()[0] or 0
     plan = materialised(plan, "mix-plan")  # a row for each source
-    rows = rows.select("doc_id", "copy", "size", key)
+    rows = rows.select("doc_id", "copy", "size", key, _place(F.col("digest")).alias("place"))
     rows = spread_join(rows, plan.select(key, "nth", "n_docs", "source_size", "target"), "source_key", "n_docs", total, ["doc_id", "copy"])
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "copy"))
     rows = rows.withColumn("order", order).withColumn("bucket", F.substring("order", 1, BUCKET_DIGITS))
@@ -116,7 +121,7 @@ def mix(docs: DataFrame, *, weights=WEIGHTS, share: float = SHARE, most: float =
     out = rows.join(sums, F.col("doc_id").eqNullSafe(F.col("t_id")) & (F.col("copy") == F.col("t_copy")), "left")
     taken = F.coalesce("t_taken", F.lit(0)).cast("long")
     size = F.greatest("size", F.lit(1))
-    return out.select("doc_id", "copy", "size", "source_size", "target", taken.alias("taken"), F.floor(taken / size).alias("full"), (taken % size).alias("part"), "first_slot", "last_slot", "slots")
+    return out.select("place", "doc_id", "copy", "size", "source_size", "target", taken.alias("taken"), F.floor(taken / size).alias("full"), (taken % size).alias("part"), "first_slot", "last_slot", "slots")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
@@ -127,13 +132,18 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     first `part` words, with the white space between them. Documents that the mix takes no word of, empty ones among
     them, are gone.
     """
-    plan = mix(docs, **options).where("taken > 0").select(*[F.col(c).alias(f"__{c}") for c in ("doc_id", "copy", "full", "part", "slots")])
-    rows = numbered(docs.withColumnRenamed("copy", "__own_copy")).withColumnRenamed("copy", "__nth")
-    rows = rows.join(plan, F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.col("__nth") == F.col("__copy")))
+    plan = _planned(docs, **options).select(F.col("place").alias("__at"), F.struct("doc_id", "copy", "full", "part", "slots").alias("own"))
+    plan = materialised(plan.groupBy("__at").agg(F.sort_array(F.collect_list("own")).alias("__plans")), "mix-passes")
+    tidy(plan.sparkSession)
+    rows = docs.withColumn("__digest", F.xxhash64("text")).withColumn("__place", _place(F.col("__digest")))
+    nth = F.row_number().over(W.partitionBy("__place").orderBy("doc_id", "source", "__digest"))
+    rows = rows.withColumn("__nth", nth).join(plan, F.col("__place") == F.col("__at"))  # both by place: the texts are dealt out once
+    rows = rows.withColumn("__plan", F.get("__plans", F.col("__nth") - 1)).drop("__plans")
+    rows = rows.select("*", F.col("__plan.full").alias("__full"), F.col("__plan.part").alias("__part"), F.col("__plan.slots").alias("__slots"))
     rows = rows.select("*", F.posexplode("__slots").alias("__pass", "__slot"))
     pieces = F.split("text", r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
     lead = F.when(F.col("text").rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)
     part = F.rtrim(F.array_join(F.slice(pieces, F.lit(1), (F.col("__part") + lead).cast("int")), ""), F.lit(WORD_SPACE))
-    rows = rows.withColumn("__text", F.when(F.col("__pass") < F.col("__full"), F.col("text")).otherwise(part)).withColumnRenamed("__own_copy", "copy")
+    rows = rows.withColumn("__text", F.when(F.col("__pass") < F.col("__full"), F.col("text")).otherwise(part))
     columns = [F.col("__text").alias("text") if c == "text" else F.length("__text").cast(t).alias(c) if c == "n_chars" else F.col(c) for c, t in docs.dtypes]
     return rows.orderBy("__slot", "doc_id").select(*columns)

@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import components, dropped, materialised, slices
+from .common import components, dropped, materialised, slices, tidy
 
 #: Five words, and a similarity of PART / WHOLE or more.
 WIDTH, PART, WHOLE, SEED = 5, 4, 5, 42
@@ -17,6 +17,8 @@ WIDTH, PART, WHOLE, SEED = 5, 4, 5, 42
 HOT, MOST_HOT = 32, 1 << 20
 #: Texts of a large group that are compared with all others of it in the first round; twice as many in each later one.
 LEADERS = 8
+#: Longs of a text's sketch, and edges of roots that are connected on the driver (more: by `components`).
+SKETCH, FEW = 8, 1 << 16
 #: Bytes of text hashed at once, and of a word that is hashed with them.
 BLOCK, LONG = 1 << 18, 1 << 12
 #: A-Z to a-z and the word separators to a space, on UTF-8 bytes.
@@ -99,6 +101,15 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return both > 0 and both * (WHOLE + PART) >= PART * (len(a) + len(b))
 
 
+def sketch(own: np.ndarray) -> np.ndarray:
+    """Of a set of hashes, for each of their values modulo 64 * SKETCH whether an odd number has it: SKETCH longs.
+
+    Two sets differ in as many hashes at least as their sketches differ in bits.
+    """
+    odd = np.bincount(own.view(np.uint64) % np.uint64(64 * SKETCH), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _frequent(batches) -> Iterator[pa.RecordBatch]:
     """(t, c): in how many texts of a few megabytes a shingle is, if in several."""
     for batch in batches:
@@ -111,14 +122,16 @@ def _frequent(batches) -> Iterator[pa.RecordBatch]:
 
 
 def _prefixes(hot):
-    """(t, node, n, hot): of the n shingles of a text those that come first, so many that similar texts share one of them."""
+    """(t, node, n, hot): of the n shingles of a text those that come first, so many that similar texts share one of them;
+    and (null, node, n, null, sketch) for each text."""
+    names = ["t", "node", "n", "hot", "sketch"]
 
     def run(batches):
         known = hot.value  # sorted by shingle, with the place of each by frequency
         seen = set()
         for batch in batches:
             for part in slices(batch, "text"):
-                out, new = [], {}
+                out, new, drawn = [], {}, []
                 for node, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     if node not in seen:  # copies give their rows once a task
                         seen.add(node)
@@ -133,8 +146,14 @@ def _prefixes(hot):
                     rank = np.where(is_hot, known[1][at] + 1, 0) if len(known[0]) else np.zeros(len(own), dtype=np.int64)
                     first = np.lexsort((own, rank))[:take]
                     out.append((own[first], np.full(take, node), np.full(take, len(own)), is_hot[first]))
+                    drawn.append((node, len(own), sketch(own)))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["t", "node", "n", "hot"])
+                    made = [pa.array(np.concatenate(c)) for c in zip(*out)]
+                    yield pa.RecordBatch.from_arrays([*made, pa.nulls(len(made[0]), pa.list_(pa.int64()))], names=names)
+                    nodes, sizes, bits = zip(*drawn)
+                    bits = pa.ListArray.from_arrays(pa.array(range(0, SKETCH * len(nodes) + 1, SKETCH), pa.int32()), pa.array(np.concatenate(bits)))
+                    none = pa.nulls(len(nodes), pa.int64()), pa.nulls(len(nodes), pa.bool_())
+                    yield pa.RecordBatch.from_arrays([none[0], pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), none[1], bits], names=names)
 
     return run
 
@@ -213,6 +232,16 @@ def _possible(met: DataFrame, members: DataFrame) -> DataFrame:
     return pairs.where(most * (WHOLE + PART) >= (F.col("n") + F.col("m")) * PART).select("a", "b", "star")
 
 
+def _near(n, m, a: str, b: str):
+    """Whether texts of n and m shingles can be similar by their sketches, in the columns that begin with a and b."""
+    bits = sum((F.bit_count(F.col(f"{a}{i}").bitwiseXOR(F.col(f"{b}{i}"))) for i in range(SKETCH)), F.lit(0))
+    return bits * (WHOLE + PART) <= (n + m) * (WHOLE - PART)
+
+
+def _sketched(sketches: DataFrame, node: str, n: str, bits: str) -> DataFrame:
+    return sketches.select(F.col("node").alias(node), F.col("n").alias(n), *[F.col(f"s{i}").alias(f"{bits}{i}") for i in range(SKETCH)])
+
+
 def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Edges (a, b) of roots from candidates (a, b, ra, rb), their whole texts compared."""
     needed = materialised(pairs.select(F.explode(F.array("a", "b")).alias("need")).distinct(), "shingle-need")
@@ -228,9 +257,30 @@ def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def _relabelled(labels: DataFrame, edges: DataFrame) -> DataFrame:
     """`labels` (node, root) with the roots that `edges` connect made one."""
-    joined = components(edges).select(F.col("node").alias("old"), F.col("root").alias("new"))
+    few = edges.limit(FEW + 1).toPandas()  # two longs a row
+    if len(few) > FEW:
+        joined = components(edges).select(F.col("node").alias("old"), F.col("root").alias("new"))
+    else:
+        joined = labels.sparkSession.createDataFrame(connected(few["a"].tolist(), few["b"].tolist()), "old long, new long")
     labels = labels.join(joined, F.col("root") == F.col("old"), "left")
-    return materialised(labels.select("node", F.coalesce("new", "root").alias("root")), "shingle-labels")
+    labels = materialised(labels.select("node", F.coalesce("new", "root").alias("root")), "shingle-labels")
+    tidy(labels.sparkSession)
+    return labels
+
+
+def connected(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """(node, least node of its component) of each node of the edges between a and b: `components` for few of them."""
+    up: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for x, y in zip(a, b):
+        x, y = find(x), find(y)
+        up[max(x, y)] = min(x, y)
+    return [(x, find(x)) for x in list(up)]
 
 
 def similar_edges(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -245,7 +295,7 @@ def similar_edges(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Groups of up to HOT texts give their pairs. Of a larger group no pairs are made: in rounds, some texts outside of its
     largest component (twice as many each round) are compared with all others of it and leave it, until one component is
     left. So a ball of near copies costs its texts, not its pairs; only texts like none of their group are compared with
-    all of it. Null and empty texts have no shingles and no edges. An empty table gives no rows.
+    all of it. A pair whose sketches show that it isn't similar goes without a look at its texts. Null and empty texts have no shingles and no edges. An empty table gives no rows.
     """
     spark = docs.sparkSession
     sums = docs.mapInArrow(_frequent, "t long, c long").groupBy("t").agg(F.sum("c").alias("c"))
@@ -255,7 +305,9 @@ def similar_edges(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rank = np.argsort(np.argsort(listed["c"].to_numpy(), kind="stable"), kind="stable")
     hot = spark.sparkContext.broadcast((listed["t"].to_numpy().astype(np.int64), rank.astype(np.int64)))
 
-    rows = materialised(docs.mapInArrow(_prefixes(hot), "t long, node long, n long, hot boolean").where("t is not null"), "shingle-prefixes")
+    rows = materialised(docs.mapInArrow(_prefixes(hot), "t long, node long, n long, hot boolean, sketch array<long>"), "shingle-prefixes")
+    sketches = rows.where("t is null").select("node", "n", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)])
+    sketches = materialised(sketches.dropDuplicates(["node"]), "shingle-sketches")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rare = rows.where("not hot").select("t", "node", "n").repartition(parts, "t").sortWithinPartitions("t")
     rare = materialised(rare.mapInArrow(_groups, "t long, a long, b long, star long, n long, m long"), "shingle-groups")
@@ -267,7 +319,9 @@ def similar_edges(docs: DataFrame, labels: DataFrame) -> DataFrame:
         b = labels.select(F.col("node").alias("b"), F.col("root").alias("rb"))
         return materialised(pairs.distinct().join(a, "a").join(b, "b").where("ra <> rb"), "shingle-pairs")
 
-    pairs = materialised(_possible(rare.where("b is not null"), members), "shingle-candidates")
+    pairs = _possible(rare.where("b is not null"), members)
+    pairs = pairs.join(_sketched(sketches, "a", "n", "x"), "a").join(_sketched(sketches, "b", "m", "y"), "b")
+    pairs = materialised(pairs.where(_near(F.col("n"), F.col("m"), "x", "y")).select("a", "b", "star"), "shingle-candidates")
     dropped(rows, rare)
     known = None
     for star in (1, 0):  # most pairs of a ball of copies are connected by its stars already
@@ -282,11 +336,12 @@ def similar_edges(docs: DataFrame, labels: DataFrame) -> DataFrame:
         now = materialised(now.join(main.where("roots > 1").select("t", "main"), "t"), "shingle-open")
         if not now.take(1):
             break
+        now = materialised(now.join(sketches.drop("n"), "node"), "shingle-sketched")
         order = W.partitionBy("t").orderBy(F.xxhash64("node"), "node")
         lead = now.where("root <> main").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= leaders)
-        lead = materialised(lead.select("t", F.col("node").alias("l"), F.col("root").alias("l_root"), F.col("n").alias("l_n")), "shingle-leaders")
+        lead = materialised(lead.select("t", F.col("node").alias("l"), F.col("root").alias("l_root"), F.col("n").alias("l_n"), *[F.col(f"s{i}").alias(f"l{i}") for i in range(SKETCH)]), "shingle-leaders")
         size = (F.greatest("n", "l_n") * PART <= F.least("n", "l_n") * WHOLE) & (F.col("root") != F.col("l_root"))
-        pairs = now.join(lead, "t").where(size)
+        pairs = now.join(lead, "t").where(size & _near(F.col("n"), F.col("l_n"), "s", "l"))
         pairs = pairs.select(F.least("node", "l").alias("a"), F.greatest("node", "l").alias("b"))
         edges = _confirm(rooted(pairs), docs)
         left = now.join(lead.select("t", F.col("l").alias("node")), ["t", "node"], "left_anti").select("t", "node", "n")

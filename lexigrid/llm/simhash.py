@@ -7,7 +7,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import components, materialised, slices, spread_join
+from .common import components, materialised, slices, spread_join, tidy
 from .shingle_join import FOLD, similar_edges
 
 SHINGLE, BUDGET, SEED = 4, 4, 42
@@ -232,6 +232,7 @@ def _grouped(docs: DataFrame, width: int, budget: int, similar: bool = False) ->
     nodes = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     if similar:
         nodes = materialised(nodes, "simhash-roots")
+        tidy(nodes.sparkSession)
         labels = materialised(prints.select("digest", "fp").distinct().join(nodes.select("fp", "root"), "fp").select(F.col("digest").alias("node"), "root"), "simhash-labels")
         more = components(similar_edges(rows.select(F.col("digest").alias("node"), "text"), labels))
         more = more.select(F.col("node").alias("old"), F.col("root").alias("new"))

@@ -136,6 +136,35 @@ def test_mixed_documents(spark):
     assert sorted(r["text"] for r in cut.collect()) == [" a\nb  c d", " a\nb  c d\te f g h"]
 
 
+def _exchanged(plan):
+    """Column names of each exchange of a plan that hasn't run."""
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        return _exchanged(plan.initialPlan())
+    below, own = plan.children(), plan.output()
+    found = [{own.apply(i).name() for i in range(own.length())}] if plan.nodeName() == "Exchange" else []
+    return found + [x for i in range(below.length()) for x in _exchanged(below.apply(i))]
+
+
+def test_texts_are_dealt_out_twice(spark):
+    """Once to meet their plan, once into the order of the slots: a third time is beyond the disk that is allowed."""
+    docs = M.mixed_documents(frame(spark, _rows()), block=16)
+    assert sum(bool({"text", "__text"} & names) for names in _exchanged(docs._jdf.queryExecution().executedPlan())) == 2
+
+
+def test_rows_of_one_id(spark):
+    """Equal rows, rows that differ in source or text only, without an id: each has its own passes."""
+    rows = [(1, "a b", "en", "s"), (1, "a b", "en", "s"), (1, "a b", "en", "t"), (1, "c d e", "en", "t"), (None, "f g", "en", None), (None, "f g", "en", None), (None, None, "en", None), (None, "h " * 30, "en", "s")]
+    docs = frame(spark, rows)
+    got, taken = {}, sum(r["taken"] for r in M.mix(docs, block=4).collect())
+    for r in M.mixed_documents(docs, block=4).collect():
+        got.setdefault((r["doc_id"], r["source"], r["text"][:1]), []).append(len(r["text"].split()))
+    sizes = {}
+    for d, text, _, source in rows:
+        if text:
+            sizes.setdefault((d, source, text[:1]), []).append(len(text.split()))
+    assert sum(map(sum, got.values())) == taken and all(sum(n) <= 2 * sum(sizes[k]) and max(n) <= max(sizes[k]) for k, n in got.items())
+
+
 def test_query(spark):
     got = op4_mixing(spark, DATA)
     assert got.columns == ["doc_id", "size", "source_size", "target", "taken", "first_slot", "last_slot"]

@@ -87,6 +87,35 @@ def test_kept_equals_all_pairs(spark):
     assert len(slow_kept(rows)) < len({r[0] for r in one_of_each(frame(spark, rows)).select("doc_id").collect()})
 
 
+def test_sketches_bound_the_difference():
+    draw = np.random.default_rng(5)
+    for n, shared in ((0, 0), (1, 0), (40, 35), (700, 600), (5000, 10)):
+        both = np.unique(draw.integers(-(2**63), 2**63, shared, dtype=np.int64))
+        a, b = (np.unique(np.concatenate([both, draw.integers(-(2**63), 2**63, n - shared, dtype=np.int64)])) for _ in "ab")
+        bits = int(np.bitwise_count((shingle_join.sketch(a) ^ shingle_join.sketch(b)).view(np.uint64)).sum())
+        assert len(shingle_join.sketch(a)) == shingle_join.SKETCH and bits <= len(np.setxor1d(a, b)) and (shared or n < 2 or bits)
+
+
+def test_texts_unlike_each_other_are_not_read(spark, monkeypatch):
+    """Texts of ten passages out of 40, each in more texts than a group holds: no pair gets as far as the texts."""
+    draw, asked, confirm = random.Random(4), [], shingle_join._confirm
+    passages = [" ".join(f"p{i}w{j}" for j in range(40)) for i in range(40)]
+    rows = [(i, " ".join(draw.sample(passages, 10))) for i in range(6 * HOT)]
+    monkeypatch.setattr(shingle_join, "_confirm", lambda pairs, texts: (asked.append(pairs.count()), confirm(pairs, texts))[1])
+    assert one_of_each(frame(spark, rows), similar=True).count() == len(rows)
+    assert len(asked) > 2 and sum(asked) == 0
+
+
+def test_few_and_many_edges_connect_alike(spark, monkeypatch):
+    draw = random.Random(6)
+    pairs = [(draw.randrange(60), draw.randrange(60)) for _ in range(40)]
+    edges = spark.createDataFrame([(a, b) for a, b in pairs if a != b], "a long, b long")
+    labels = spark.createDataFrame([(1000 + i, i) for i in range(60)], "node long, root long")
+    few = {tuple(r) for r in shingle_join._relabelled(labels, edges).collect()}
+    monkeypatch.setattr(shingle_join, "FEW", 0)
+    assert few == {tuple(r) for r in shingle_join._relabelled(labels, edges).collect()} and len(few) == 60 > len({r for _, r in few})
+
+
 def test_stage_links_similar_texts(spark):
     docs = documents(spark)
     rows = [(r[0], r[1]) for r in docs.select("doc_id", "text").collect()]
