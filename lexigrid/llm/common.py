@@ -5,6 +5,9 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import reduce
 from operator import and_
 
@@ -41,6 +44,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Paths of the tables that the innermost `passing` block deletes.
+_passing: ContextVar[list[str] | None] = ContextVar("passing", default=None)
+
+
 def scratch(spark: SparkSession, what: str) -> str:
     """A fresh path in the shared folder, deleted when the driver ends."""
     path = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
@@ -57,9 +64,14 @@ def dropped(*tables: DataFrame) -> None:
             where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def materialised(df: DataFrame, what: str) -> DataFrame:
-    """Cut the lineage with a table in the shared folder: it survives lost executors, and later jobs only read it."""
+def materialised(df: DataFrame, what: str, lasting: bool = False) -> DataFrame:
+    """Cut the lineage with a table in the shared folder: it survives lost executors, and later jobs only read it.
+
+    In a `passing` block the table goes with the block, unless it is `lasting`.
+    """
     path = scratch(df.sparkSession, what)
+    if not lasting and (paths := _passing.get()) is not None:
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -70,6 +82,21 @@ def tidy(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """At its end the tables that were materialised in the block are deleted: only its lasting ones may be read after it."""
+    token = _passing.set([])
+    try:
+        yield
+    finally:
+        paths = _passing.get()
+        _passing.reset(token)
+        for path in paths:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        tidy(spark)
+
+
 def spread_join(left: DataFrame, right: DataFrame, key: str | list[str], weight: str, total: int, by: list[str], how: str = "inner", parts: int = 1000) -> DataFrame:
     """Join on a key (of one column or several) where a few keys may hold most rows of `left`, without a hot task and with one pass over `left`.
 

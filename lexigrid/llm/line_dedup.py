@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import components, materialised, spread_join, tidy
+from .common import components, materialised, passing, spread_join
 
 THRESHOLD, LEAST_CHARS = 1, 20
 #: Segment groups with more distinct lines than this don't make pairs but are split by segments of what is left of the lines.
@@ -275,9 +275,9 @@ def without_repeated_lines(docs: DataFrame, **options) -> DataFrame:
 
     A text of which every line goes is empty. A null text stays null.
     """
-    gone = _by_document(docs, **options).select(F.col("g_id").alias("__id"), F.col("gone").alias("__gone"))
-    tidy(docs.sparkSession)
-    rows = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    with passing(docs.sparkSession):
+        gone = materialised(_by_document(docs, **options).select(F.col("g_id").alias("__id"), F.col("gone").alias("__gone")), "lines-gone", lasting=True)
+    rows = docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")), "left")  # its files are far smaller than its rows: no broadcast
     staying = lambda parts: F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__gone")), lambda i: F.get(parts, i))
     text = F.array_join(_let(F.split("text", "\n"), staying), "\n")  # split once, however many lines there are
     rows = rows.withColumn("__text", F.when(F.col("__gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(text))

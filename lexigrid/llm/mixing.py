@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import WORD, WORD_SPACE, materialised, prefix_sums, spread_join, tidy
+from .common import WORD, WORD_SPACE, materialised, passing, prefix_sums, spread_join
 
 WEIGHTS, SHARE, MOST, BLOCK = (5.0, 2.0, 1.0), 1.5, 2.0, 4096
 #: Slots are points of the golden-ratio sequence in units of 1 / SPAN: slot i lies at i * STEP mod SPAN. STEP is odd and
@@ -132,9 +132,10 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     first `part` words, with the white space between them. Documents that the mix takes no word of, empty ones among
     them, are gone.
     """
-    plan = _planned(docs, **options).select(F.col("place").alias("__at"), F.struct("doc_id", "copy", "full", "part", "slots").alias("own"))
-    plan = materialised(plan.groupBy("__at").agg(F.sort_array(F.collect_list("own")).alias("__plans")), "mix-passes")
-    tidy(plan.sparkSession)
+    with passing(docs.sparkSession):
+        plan = _planned(docs, **options).select(F.col("place").alias("__at"), F.struct("doc_id", "copy", "full", "part", "slots").alias("own"))
+        plan = plan.groupBy("__at").agg(F.sort_array(F.collect_list("own")).alias("__plans"))
+        plan = materialised(plan, "mix-passes", lasting=True)
     rows = docs.withColumn("__digest", F.xxhash64("text")).withColumn("__place", _place(F.col("__digest")))
     nth = F.row_number().over(W.partitionBy("__place").orderBy("doc_id", "source", "__digest"))
     rows = rows.withColumn("__nth", nth).join(plan, F.col("__place") == F.col("__at"))  # both by place: the texts are dealt out once

@@ -18,7 +18,7 @@ HOT, MOST_HOT = 32, 1 << 20
 #: Texts of a large group that are compared with all others of it in the first round; twice as many in each later one.
 LEADERS = 8
 #: Longs of a text's sketch, and edges of roots that are connected on the driver (more: by `components`).
-SKETCH, FEW = 8, 1 << 16
+SKETCH, FEW = 16, 1 << 16
 #: Bytes of text hashed at once, and of a word that is hashed with them.
 BLOCK, LONG = 1 << 18, 1 << 12
 #: A-Z to a-z and the word separators to a space, on UTF-8 bytes.
@@ -245,13 +245,12 @@ def _sketched(sketches: DataFrame, node: str, n: str, bits: str) -> DataFrame:
 def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Edges (a, b) of roots from candidates (a, b, ra, rb), their whole texts compared."""
     needed = materialised(pairs.select(F.explode(F.array("a", "b")).alias("need")).distinct(), "shingle-need")
-    held = texts.join(needed, F.col("node") == F.col("need")).dropDuplicates(["node"]).select("node", "text")
-    held = materialised(held, "shingle-texts")
+    held = texts.join(needed, F.col("node") == F.col("need")).dropDuplicates(["node"]).select("node", "text")  # one exchange for both joins
     rows = pairs.join(held.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
     rows = rows.join(held.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
     edges = rows.select("a", "b", "ra", "rb", "x", "y").mapInArrow(_verified, "a long, b long").distinct()
     edges = materialised(edges, "shingle-edges")
-    dropped(needed, held)
+    dropped(needed)
     return edges
 
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import components, materialised, slices, spread_join, tidy
+from .common import components, materialised, passing, slices, spread_join, tidy
 from .shingle_join import FOLD, similar_edges
 
 SHINGLE, BUDGET, SEED = 4, 4, 42
@@ -251,8 +251,10 @@ def one_of_each(docs: DataFrame, *, width: int = SHINGLE, budget: int = BUDGET,
     Of several rows of a component with that doc_id the one whose text, then whose other columns have the least hash
     stays; rows of other components with the same doc_id stay as well. Rows with a null doc_id can't be named and stay.
     """
-    found = _grouped(docs, width, budget, similar).where("doc_id is not null and doc_id = component_id")
-    kept = found.groupBy("root").agg(F.min("doc_id").alias("__id"), F.min("digest").alias("__digest")).select("__id", "__digest").distinct()
+    with passing(docs.sparkSession):
+        found = _grouped(docs, width, budget, similar).where("doc_id is not null and doc_id = component_id")
+        kept = found.groupBy("root").agg(F.min("doc_id").alias("__id"), F.min("digest").alias("__digest")).select("__id", "__digest").distinct()
+        kept = materialised(kept, "simhash-kept", lasting=True)
     named = docs.where("doc_id is not null").withColumn("__own", F.xxhash64("text"))
     named = named.join(kept, (F.col("doc_id") == F.col("__id")) & (F.col("__own") == F.col("__digest")), "left_semi")
     others = [F.col(c) for c, t in docs.dtypes if c != "text" and not t.startswith("map")]

@@ -1,10 +1,12 @@
 import importlib
 import re
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as C
+from lexigrid.llm.common import shared_dir
 from lexigrid.llm.packing import default_tokenizer, token_ids
 from lexigrid.llm.simhash import fingerprint
 
@@ -69,6 +71,15 @@ def test_stages_take_odd_tables(spark, name):
     assert stage(spark, frame(spark, []), DATA).count() == 0
 
 
+@pytest.mark.parametrize("name", ["lines", "near_duplicates", "mixture"])
+def test_stages_leave_one_table(spark, name):
+    """What a stage has written on its way goes as soon as it is done, rather than when the driver ends."""
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    out = dict(C.STAGES)[name](spark, documents(spark), DATA)
+    assert len(set(folder.iterdir()) - before) == 1 and out.count() > 100
+
+
 def test_registered():
     from lexigrid.llm.queries import QUERIES, SQL
 
