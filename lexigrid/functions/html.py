@@ -42,11 +42,11 @@ def _number(name: Column) -> Column:
     return let(code, char)
 
 
-def decode_entities(text: Column, attribute: bool = False) -> Column:
+def decode_entities(text: Column, attribute: bool = False, ended: bool = False) -> Column:
     """Character references, named and numeric, each decoded once; what isn't one stays as it is.
 
     Old names count without a semicolon too, in text also as the beginning of a longer word, in an attribute only if
-    neither a letter, a digit nor an equals sign follows.
+    neither a letter, a digit nor an equals sign follows. `ended`: only what a semicolon ends counts.
     """
     named, legacy = (F.from_json(F.lit(x), "map<string,string>") for x in NAMED)  # constants that are folded once
 
@@ -55,14 +55,18 @@ def decode_entities(text: Column, attribute: bool = False) -> Column:
 
         def decoded(r: Column) -> Column:
             rest = F.substring(p, F.length(r["all"]) + 1, F.length(p))
-            ended = r["all"].endswith(";")
-            if attribute:
+            whole = r["all"].endswith(";")
+            if ended:
+                short = F.lit(None).cast("string")
+            elif attribute:
                 short = F.when(~rest.startswith("="), F.concat(F.try_element_at(legacy, r["name"]), rest))
             else:
                 lead = F.regexp_extract(p, "^&(" + "|".join(LEGACY) + ")", 1)
                 short = F.when(lead != "", F.concat(F.try_element_at(legacy, lead), F.substring(p, F.length(lead) + 2, F.length(p))))
-            known = F.when(ended, F.concat(F.try_element_at(named, r["name"]), rest))
+            known = F.when(whole, F.concat(F.try_element_at(named, r["name"]), rest))
             quick = F.when(r["all"] == "&amp;", F.concat(F.lit("&"), rest)).when(r["all"] == "&nbsp;", F.concat(F.lit("\u00a0"), rest))
+            if ended:
+                quick = quick.when(~whole, p)
             return quick.when(r["name"] == "", p).when(r["name"].startswith("#"), F.concat(_number(r["name"]), rest)).otherwise(F.coalesce(known, short, p))
 
         return F.when(p.startswith("&"), let(parts, decoded)).otherwise(p)
@@ -70,25 +74,26 @@ def decode_entities(text: Column, attribute: bool = False) -> Column:
     return let(text, lambda t: F.when(t.contains("&"), F.array_join(F.transform(F.split(t, "(?=&)"), piece), "")).otherwise(t))
 
 
-def _clean(text: Column) -> Column:
+def _clean(text: Column, ended: bool) -> Column:
     """References decoded, white space collapsed and trimmed."""
-    return F.trim(F.regexp_replace(decode_entities(text), SPACES, " "))
+    return F.trim(F.regexp_replace(decode_entities(text, ended=ended), SPACES, " "))
 
 
-def title(html: Column) -> Column:
-    """The text of the first title element; empty if there is none."""
-    return F.coalesce(_clean(F.regexp_extract(F.regexp_replace(html, HIDDEN, ""), TITLE, 1)), F.lit(""))
+def title(html: Column, ended: bool = False) -> Column:
+    """The text of the first title element; empty if there is none. `ended`: see decode_entities."""
+    return F.coalesce(_clean(F.regexp_extract(F.regexp_replace(html, HIDDEN, ""), TITLE, 1), ended), F.lit(""))
 
 
-def body_text(html: Column) -> Column:
+def body_text(html: Column, ended: bool = False) -> Column:
     """The text of the body (of all, without head and titles, if no body tag is there): no scripts, styles, templates or comments.
 
     Scripts and the like that are never closed reach to the end. A > in a quoted attribute ends no tag.
+    `ended`: see decode_entities.
     """
     text = F.regexp_replace(F.regexp_replace(html, HIDDEN, ""), TITLE, " ")
     text = F.regexp_replace(text, HEAD, " ")
     text = F.regexp_replace(text, rf"(?i)</?(?:{BLOCKS})\b{ATTRIBUTES}(?:>|\z)", " ")
-    return F.coalesce(_clean(F.regexp_replace(text, TAG, "")), F.lit(""))
+    return F.coalesce(_clean(F.regexp_replace(text, TAG, ""), ended), F.lit(""))
 
 
 def _href(tag: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexigrid.functions import html as H
 from lexigrid.operators.analysis import preprocess
+from lexigrid.plans import queries as Q, workflows as W
 from lexigrid.sources import config as K, crawl as C, pages as P
 
 PAGE = """<html><head><title> A &amp; B
@@ -224,3 +225,27 @@ def test_crawl_of_stored_pages(spark):
 def test_live_fetch_survives_failures(spark):
     got = C.live(K.CrawlConfig(delay_millis=0, connection_timeout_millis=1, read_timeout_millis=1))(spark.createDataFrame([("http://127.0.0.1:9/x", 0, "r")], "url string, depth int, root string"))
     assert got.count() == 0
+
+
+#: References that a semicolon doesn't end, as where a title was cut short; what the queries make of them by their SQL.
+CUT = [
+    (1, "http://cut.example.org/a", "<head><title>Fish &amp; chips&amp</title></head><body><p>salt &amp vinegar &#65 &#65; &copy &copy; &lt</p></body>"),
+    (2, "http://cut.example.org/b", "<title>&amp</title><p>&ampere &amp;amp &#x41 &#38;</p>"),
+]
+
+
+def cut_pages(spark, tmp_path, query):
+    """The rows of a query over CUT and those of its SQL, by sorted column names."""
+    import duckdb
+
+    spark.createDataFrame(CUT, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    got = (W.QUERIES | Q.QUERIES)[query](spark, str(tmp_path))
+    names = ", ".join(sorted(got.columns))
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    return sorted(map(tuple, got.select(*sorted(got.columns)).collect())), sorted(con.execute(f"select {names} from ({(W.SQL | Q.SQL)[query]})").fetchall())
+
+
+def test_title_of_cut_references_equals_sql(spark, tmp_path):
+    got, expected = cut_pages(spark, tmp_path, "page_title")
+    assert got == expected == [(1, "Fish & chips&amp"), (2, "&amp")]
