@@ -7,11 +7,12 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import html as H, uri as U
 
 
-def parsed(responses: DataFrame, *, accepted: frozenset[str] = frozenset({"text/html"}), skip_others: bool = True) -> DataFrame:
+def parsed(responses: DataFrame, *, accepted: frozenset[str] = frozenset({"text/html"}), skip_others: bool = True, ended: bool = False) -> DataFrame:
     """Pages (url, raw_html, title, body_text, status_code, content_type, fetched_at, headers, links) of the responses.
 
     Only successful responses count, and only those with an accepted content type unless others are wanted too. The
-    url is the requested one. Null bodies and content types are empty.
+    url is the requested one. Null bodies and content types are empty. `ended`: only references that a semicolon ends
+    are decoded in titles and texts.
     """
     content = F.lower(F.coalesce("content_type", F.lit("")))
     rows = responses.where(H.is_success(F.col("status_code")))
@@ -22,7 +23,7 @@ def parsed(responses: DataFrame, *, accepted: frozenset[str] = frozenset({"text/
         rows = rows.where(wanted)
     body = F.coalesce("body", F.lit(""))
     return rows.select(
-        F.col("uri").alias("url"), body.alias("raw_html"), H.title(body).alias("title"), H.body_text(body).alias("body_text"), "status_code", F.coalesce("content_type", F.lit("")).alias("content_type"),
+        F.col("uri").alias("url"), body.alias("raw_html"), H.title(body, ended).alias("title"), H.body_text(body, ended).alias("body_text"), "status_code", F.coalesce("content_type", F.lit("")).alias("content_type"),
         F.current_timestamp().alias("fetched_at"), H.flat_headers(F.coalesce("headers", F.create_map().cast("map<string,array<string>>"))).alias("headers"), H.links(body, F.col("uri")).alias("links"),
     )
 
