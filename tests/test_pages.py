@@ -227,10 +227,10 @@ def test_live_fetch_survives_failures(spark):
     assert got.count() == 0
 
 
-#: References that a semicolon doesn't end, as where a title was cut short; what the queries make of them by their SQL.
+#: References that a semicolon doesn't end, as where a title was cut short. By these ids both pages are successful HTML responses.
 CUT = [
-    (1, "http://cut.example.org/a", "<head><title>Fish &amp; chips&amp</title></head><body><p>salt &amp vinegar &#65 &#65; &copy &copy; &lt</p></body>"),
-    (2, "http://cut.example.org/b", "<title>&amp</title><p>&ampere &amp;amp &#x41 &#38;</p>"),
+    (15, "http://cut.example.org/a", "<head><title>Fish &amp; chips&amp</title></head><body><p>salt &amp vinegar &#38 &#39; &copy &copy; &lt</p></body>"),
+    (50, "http://cut.example.org/b", "<head><title>&amp</title></head><p>&ampere &amp;amp &#x41 &#38;</p>"),
 ]
 
 
@@ -248,4 +248,15 @@ def cut_pages(spark, tmp_path, query):
 
 def test_title_of_cut_references_equals_sql(spark, tmp_path):
     got, expected = cut_pages(spark, tmp_path, "page_title")
-    assert got == expected == [(1, "Fish & chips&amp"), (2, "&amp")]
+    assert got == expected == [(15, "Fish & chips&amp"), (50, "&amp")]
+
+
+def test_text_of_cut_references_equals_sql(spark, tmp_path):
+    got, expected = cut_pages(spark, tmp_path, "page_text")
+    assert got == expected == [("&ampere &amp &#x41 &", 50), ("salt &amp vinegar &#38 ' &copy © &lt", 15)]
+
+
+@pytest.mark.parametrize("query", ["page_documents", "page_attributes"])
+def test_documents_of_cut_references_equal_sql(spark, tmp_path, query):
+    got, expected = cut_pages(spark, tmp_path, query)
+    assert got == expected and got
