@@ -235,3 +235,10 @@ def test_printed_results(spark, capsys):
 
 def test_english_is_the_default():
     assert A.analyzed.__kwdefaults__["normalizer"] is english
+
+
+def test_postings_analyse_a_text_once(spark):
+    rows = spark.createDataFrame([(1, "a bee sees a bee"), (None, "lost"), (3, None), (4, " ")], "doc_id long, text string")
+    post = I.entries(I.forward(rows))
+    assert post._jdf.queryExecution().optimizedPlan().toString().count("lower(text") == 1
+    assert sorted(map(tuple, post.collect())) == [(1, 3, "bee", 2), (1, 3, "sees", 1)]

@@ -68,3 +68,16 @@ def test_stop_word_lists_and_files(tmp_path, monkeypatch):
         T.load_stop_words("classpath:/none.txt")
     with pytest.raises(FileNotFoundError):
         T.load_stop_words(str(tmp_path / "none"))
+
+
+def test_found_tokens_equal_trimmed_ones(spark):
+    """Random texts of letters, marks, white space of ASCII and others: tokens found in the text are the tokens split and trimmed."""
+    import re
+
+    made = random.Random(5)
+    texts = ["".join(made.choice("aZ9é-. \t\n 　𝒳\x0b\x1c") for _ in range(made.randrange(40))) for _ in range(400)] + [None, "", "!" * 2000 + "a" + "-" * 2000 + "b c"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    got = {r["i"]: r["t"] for r in rows.select("i", T.terms(F.col("text"), T.minimal).alias("t")).collect()}
+    for i, text in enumerate(texts):
+        split = re.split(r"[ \t\n\x0b\f\r]+", (text or "").lower())
+        assert got[i] == [w for x in split if (w := re.sub(r"^[^a-z0-9]+|[^a-z0-9]+$", "", x))]
