@@ -242,3 +242,43 @@ def test_postings_analyse_a_text_once(spark):
     post = I.entries(I.forward(rows))
     assert post._jdf.queryExecution().optimizedPlan().toString().count("lower(text") == 1
     assert sorted(map(tuple, post.collect())) == [(1, 3, "bee", 2), (1, 3, "sees", 1)]
+
+
+def test_similar_pairs_are_not_shuffled(spark):
+    """Products are added within blocks: no aggregation of pairs; vectors of nothing, wanted ones and numbers as terms."""
+    rows = [(d, f"t{t}", float(1 + (d * t) % 5)) for d in range(1, 60) for t in range(40) if t == 0 or (d * 7 + t * t) % 11 == 0] + [(99, "t0", 0.0)]
+    vecs = spark.createDataFrame(rows, "doc_id long, term string, weight double")
+    norms, wanted = V.norms(vecs), spark.createDataFrame([(5,), (50,), (1000,)], "doc_id long")
+    by_doc = {d: {t: w for e, t, w in rows if e == d} for d in {r[0] for r in rows}}
+    size = {d: math.sqrt(sum(w * w for w in v.values())) for d, v in by_doc.items()}
+    score = {(a, b): sum(w * by_doc[b].get(t, 0.0) for t, w in by_doc[a].items()) / (size[a] * size[b]) for a in by_doc for b in by_doc if a != b and size[a] and size[b]}
+    numbers = vecs.withColumn("term", F.substring("term", 2, 9).cast("long"))
+    for found, expected in (
+        (V.similar_documents(vecs, norms, threshold=0.5), {(a, b) for (a, b), s in score.items() if a < b and s > 0.5}),
+        (V.similar_documents(numbers, norms, wanted, 0.5), {(a, b) for (a, b), s in score.items() if a in (5, 50) and s > 0.5}),
+    ):
+        assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
+        got = {(r["doc_a"], r["doc_b"]): r["score"] for r in found.collect()}
+        assert got.keys() == expected and all(math.isclose(got[p], score[p]) for p in got)
+
+
+def test_block_products(monkeypatch):
+    """Blocks of few vectors and entries, terms frequent and rare, against dense products."""
+    import numpy as np
+    import pyarrow as pa
+
+    from lexigrid.operators import pairs as B
+
+    made = np.random.default_rng(3)
+    dense = made.random((50, 300)) * (made.random((50, 300)) < made.random(300) ** 4)
+    rows = [{"doc_id": f"d{i}", "wanted": True if i % 3 == 0 else None, "norm": 2.0, "entries": [{"term": int(t), "weight": w[t]} for t in np.nonzero(w)[0]]} for i, w in enumerate(dense)]
+    kind = pa.schema({"doc_id": pa.string(), "wanted": pa.bool_(), "norm": pa.float64(), "entries": pa.list_(pa.struct({"term": pa.int64(), "weight": pa.float64()}))})
+    monkeypatch.setattr(B, "ENTRIES", 700), monkeypatch.setattr(B, "VECTORS", 20), monkeypatch.setattr(B, "AT_ONCE", 100)
+    table = pa.Table.from_pylist(rows, kind).combine_chunks()
+    blocks = list(B._blocks(iter([*table.slice(0, 30).to_batches(), *table.slice(30).to_batches()])))
+    held = {s: [(b.column("ids")[0].values, *(b.column(n)[0].values.to_numpy() for n in ("terms", "docs", "weights"))) for b in blocks if b.column("side")[0].as_py() == s] for s in (0, 1)}
+    assert len(held[0]) > 2 and sum(len(b[0]) for b in held[0]) == 50 and [i for b in held[1] for i in b[0].to_pylist()] == [f"d{i}" for i in range(0, 50, 3)]
+    for a in held[1]:
+        for b in held[0]:
+            own, other = (dense[[int(i[1:]) for i in x[0].to_pylist()]] / 2 for x in (a, b))
+            assert np.allclose(B._products(a, b), own @ other.T, atol=1e-12)
